@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from termweave.operators import strict_load
+from termweave.operators import nested, strict_load
 
 FLAGSHIP = "p3_loaded"
 
 QUERIES = {
     "p3_found": strict_load.p3_found,
     "p3_loaded": strict_load.p3_loaded,
+    "p6_found": nested.p6_found,
+    "p6_flat": nested.p6_flat,
 }
 
 SQL: dict[str, str] = {}
