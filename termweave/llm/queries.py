@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from termweave.llm import copies, topn
+from termweave.llm import bpe, copies, packing, topn
 
 QUERIES = {
     "p4_found": copies.p4_found,
     "p4_collapsed": copies.p4_collapsed,
     "p7_found": topn.p7_found,
+    "p8_ids": bpe.p8_ids,
+    "p9_containers": packing.p9_containers,
+    "p9_fill": packing.p9_fill,
 }
 
 SQL = {
