@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from termweave.llm import bpe, copies, packing, topn
+from termweave.llm import bpe, copies, packing, sentences, topn
 
 QUERIES = {
     "p4_found": copies.p4_found,
@@ -11,6 +11,7 @@ QUERIES = {
     "p8_ids": bpe.p8_ids,
     "p9_containers": packing.p9_containers,
     "p9_fill": packing.p9_fill,
+    "p10_found": sentences.p10_found,
 }
 
 SQL = {
