@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from termweave.llm import bpe, copies, packing, sentences, topn
+from termweave.llm import bpe, copies, lookalike, packing, sentences, topn
 
 QUERIES = {
+    "p1_found": lookalike.p1_found,
+    "p1_forms": lookalike.p1_forms,
     "p4_found": copies.p4_found,
     "p4_collapsed": copies.p4_collapsed,
     "p7_found": topn.p7_found,
