@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from termweave.llm import bpe, copies, lookalike, packing, sentences, topn
+from termweave.llm import bpe, copies, lookalike, mapping, packing, sentences, topn
 
 QUERIES = {
     "p1_found": lookalike.p1_found,
     "p1_forms": lookalike.p1_forms,
     "p4_found": copies.p4_found,
     "p4_collapsed": copies.p4_collapsed,
+    "p5_found": mapping.p5_found,
+    "p5_unmatched": mapping.p5_unmatched,
     "p7_found": topn.p7_found,
     "p8_ids": bpe.p8_ids,
     "p9_containers": packing.p9_containers,
