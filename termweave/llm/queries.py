@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from termweave.llm import bpe, copies, lookalike, mapping, packing, sentences, topn
+from termweave.llm import bpe, copies, lookalike, mapping, neighbors, packing, sentences, topn
 
 QUERIES = {
     "p1_found": lookalike.p1_found,
     "p1_forms": lookalike.p1_forms,
+    "p2_found": neighbors.p2_found,
+    "p2_neighbours": neighbors.p2_neighbours,
     "p4_found": copies.p4_found,
     "p4_collapsed": copies.p4_collapsed,
     "p5_found": mapping.p5_found,
