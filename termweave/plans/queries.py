@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from termweave.operators import nested, strict_load
+from termweave.plans import channel_queries, rule_queries
 
-FLAGSHIP = "p3_loaded"
+FLAGSHIP = "map_full"
 
 QUERIES = {
     "p3_found": strict_load.p3_found,
     "p3_loaded": strict_load.p3_loaded,
     "p6_found": nested.p6_found,
     "p6_flat": nested.p6_flat,
+    **rule_queries.QUERIES,
+    **channel_queries.QUERIES,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {**rule_queries.SQL, **channel_queries.SQL}
