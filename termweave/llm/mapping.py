@@ -139,11 +139,16 @@ def names_of(terms: DataFrame, key: str, label: str, synonyms: str) -> DataFrame
     return terms.select(F.col(key).alias("key"), F.explode(names).alias("name")).filter("name is not null")
 
 
-def similarity_join(left: DataFrame, right: DataFrame, least: float = LEAST) -> DataFrame:
-    """l, r, jaccard of every pair of distinct strings (columns l and r) whose trigram sets have at least this Jaccard similarity.
+#: Trigrams that two slips (a swap breaks four each) and a rotation (two) can break.
+BROKEN = 10
+
+
+def similarity_join(left: DataFrame, right: DataFrame, least: float = LEAST, broken: int = BROKEN) -> DataFrame:
+    """l, r, jaccard of every pair of distinct strings (columns l and r) whose trigram sets have at least this Jaccard similarity and miss at most
+    ``broken`` trigrams of either.
 
     Trigrams are ordered by their number of names on the right, then by themselves; those unknown there come first. A set of n
-    trigrams sends its first n - ceil(least * n) + 1. Pairs that the lengths or the places of a shared trigram rule out are dropped
+    trigrams must share at least k = max(ceil(least * n), n - broken), so it sends its first n - k + 1. Pairs that the lengths or the places of a shared trigram rule out are dropped
     before verification. Repeated strings count once. An empty side gives no rows.
     """
     right = right.select("r", trigrams(F.col("r")).alias("grams"))
@@ -156,7 +161,8 @@ def similarity_join(left: DataFrame, right: DataFrame, least: float = LEAST) ->
 
     def prefix(df: DataFrame, name: str, place: str, size: str) -> DataFrame:
         n = F.size("grams")
-        return df.select(name, n.alias(size), F.posexplode(F.slice("grams", F.lit(1), (n - F.ceil(F.lit(least) * n - 1e-9) + 1).cast("int"))).alias(place, "gram"))
+        must = F.greatest(F.ceil(F.lit(least) * n - 1e-9).cast("int"), n - broken)
+        return df.select(name, n.alias(size), F.posexplode(F.slice("grams", F.lit(1), n - must + 1)).alias(place, "gram"))
 
     left, right = cut_lineage(ordered(left, "l")), cut_lineage(ordered(right, "r"))
     share = least / (1 + least)
@@ -165,7 +171,7 @@ def similarity_join(left: DataFrame, right: DataFrame, least: float = LEAST) ->
         .join(small_side(prefix(right, "r", "j", "m")), "gram")
         .filter(F.col("m") >= F.lit(least) * F.col("n") - 1e-9)
         .filter(F.col("n") >= F.lit(least) * F.col("m") - 1e-9)
-        .filter(F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) >= F.lit(share) * (F.col("n") + F.col("m")) - 1e-9)
+        .filter(F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) >= F.greatest(F.lit(share) * (F.col("n") + F.col("m")) - 1e-9, F.greatest("n", "m") - broken))
         .select("l", "r")
         .distinct()
     )
@@ -176,15 +182,11 @@ def similarity_join(left: DataFrame, right: DataFrame, least: float = LEAST) ->
         .withColumn("n", F.size("lg"))
         .withColumn("m", F.size("rg"))
         .withColumn("jaccard", F.col("common") / (F.col("n") + F.col("m") - F.col("common")))
-        .filter(F.col("jaccard") >= least - 1e-9)
-        .select("l", "r", "jaccard", "common", "n", "m")
+        .filter((F.col("jaccard") >= least - 1e-9) & (F.col("common") >= F.greatest("n", "m") - broken))
+        .select("l", "r", "jaccard")
     )
 
 
-#: Trigrams that two slips (a swap breaks four each) and a rotation (two) can break.
-BROKEN = 10
-
-
 def map_values(values: DataFrame, value_id: str, value: str, terms: DataFrame, key: str, label: str, synonyms: str) -> DataFrame:
     """value_id, key, jaccard for every value: the term it names, or '' with null jaccard if it names none.
 
@@ -196,7 +198,7 @@ def map_values(values: DataFrame, value_id: str, value: str, terms: DataFrame, k
     names = names_of(terms, key, label, synonyms).withColumn("full", _comparable(F.col("name"))).withColumn("r", _content(F.col("full"))).filter("r <> ''")
     names = cut_lineage(names.groupBy("r").agg(F.min("full").alias("full"), F.min("key").alias("key"), F.countDistinct("key").alias("keys")).filter("keys = 1").drop("keys"))
     wanted = cut_lineage(wanted)
-    near = similarity_join(wanted.select("l").distinct(), names.select("r")).filter(F.col("common") >= F.greatest("n", "m") - BROKEN)
+    near = similarity_join(wanted.select("l").distinct(), names.select("r"))
     judged = near.join(wanted, "l").join(small_side(names), "r").withColumn("slips", _distance(F.col("words"), F.col("full"))).filter("slips is not null")
     best = judged.groupBy("words").agg(F.min(F.struct("slips", (-F.col("jaccard")).alias("minus"), "key")).alias("b")).select("words", F.col("b.key").alias("key"), (-F.col("b.minus")).alias("jaccard"))
     # The best terms are broadcast if few; else Spark shuffles and splits a skewed value such as a filler at run time.
