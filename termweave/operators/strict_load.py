@@ -15,6 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from termweave.functions.let import let
 from termweave.session import table
 
 REASONS = ("quoting", "column_count", "invalid_value", "unknown_format")
@@ -45,37 +46,43 @@ def _literal_split(text: Column, mark: str) -> Column:
 
 def quoting_ok(line: Column, fmt: Format) -> Column:
     """Whether every field is bare or wholly quoted."""
-    parts = _literal_split(line, fmt.quote)
-    last = F.size(parts) - 1
 
-    def good(p: Column, i: Column) -> Column:
-        ends, starts = F.endswith(p, F.lit(fmt.delimiter)), F.startswith(p, F.lit(fmt.delimiter))
-        return (
-            F.when((i % 2) == 1, True)
-            .when(last == 0, True)
-            .when(i == 0, (p == "") | ends)
-            .when(i == last, (p == "") | starts)
-            .otherwise((p == "") | (starts & ends))
-        )
+    def judge(parts: Column) -> Column:
+        last = F.size(parts) - 1
 
-    marked = F.transform(parts, good)
-    return ((last % 2) == 0) & F.forall(marked, lambda x: x)
+        def good(p: Column, i: Column) -> Column:
+            ends, starts = F.endswith(p, F.lit(fmt.delimiter)), F.startswith(p, F.lit(fmt.delimiter))
+            return (
+                F.when((i % 2) == 1, True)
+                .when(last == 0, True)
+                .when(i == 0, (p == "") | ends)
+                .when(i == last, (p == "") | starts)
+                .otherwise((p == "") | (starts & ends))
+            )
+
+        return ((last % 2) == 0) & F.forall(F.transform(parts, good), lambda x: x)
+
+    return let(_literal_split(line, fmt.quote), judge)
 
 
 def fields_of(line: Column, fmt: Format) -> Column:
     """The unquoted fields of a line whose quoting is right. Escapes U+0001, so that any text survives."""
-    parts = _literal_split(F.replace(line, F.lit("\u0001"), F.lit(_ESC)), fmt.quote)
-    last = F.size(parts) - 1
-
-    def text(p: Column, i: Column) -> Column:
-        return (
-            F.when((i % 2) == 1, p)
-            .when((p == "") & (i > 0) & (i < last), F.lit(fmt.quote))
-            .otherwise(F.replace(p, F.lit(fmt.delimiter), F.lit(_SEP)))
-        )
-
-    joined = F.array_join(F.transform(parts, text), "")
-    return F.transform(_literal_split(joined, _SEP), lambda x: F.replace(x, F.lit(_ESC), F.lit("\u0001")))
+
+    def joined(parts: Column) -> Column:
+        last = F.size(parts) - 1
+
+        def text(p: Column, i: Column) -> Column:
+            return (
+                F.when((i % 2) == 1, p)
+                .when((p == "") & (i > 0) & (i < last), F.lit(fmt.quote))
+                .otherwise(F.replace(p, F.lit(fmt.delimiter), F.lit(_SEP)))
+            )
+
+        return F.array_join(F.transform(parts, text), "")
+
+    escaped = F.replace(line, F.lit("\u0001"), F.lit(_ESC))
+    whole = let(_literal_split(escaped, fmt.quote), joined)
+    return F.transform(_literal_split(whole, _SEP), lambda x: F.replace(x, F.lit(_ESC), F.lit("\u0001")))
 
 
 def _values_ok(field: dict[str, Column], types: Column) -> Column:
