@@ -263,7 +263,7 @@ def flatten(df: DataFrame, id_col: str, body: str, paths: tuple[Path, ...]) -> D
 
 def broken_bodies(df: DataFrame, id_col: str, body: str) -> DataFrame:
     """Ids of bodies that do not parse as JSON; null bodies are not broken."""
-    return df.filter(F.col(body).isNotNull() & F.try_parse_json(F.col(body)).isNull()).select(id_col)
+    return df.filter(F.col(body).isNotNull() & (F.trim(body) != "null") & F.get_json_object(F.col(body), "$").isNull()).select(id_col)
 
 
 RESPONSE = (

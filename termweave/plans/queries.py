@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from termweave.operators import nested, strict_load
-from termweave.plans import channel_queries, rule_queries
+from termweave.plans import channel_queries, rule_queries, service
 
 FLAGSHIP = "map_full"
 
@@ -14,6 +14,7 @@ QUERIES = {
     "p6_flat": nested.p6_flat,
     **rule_queries.QUERIES,
     **channel_queries.QUERIES,
+    **service.QUERIES,
 }
 
-SQL: dict[str, str] = {**rule_queries.SQL, **channel_queries.SQL}
+SQL: dict[str, str] = {**rule_queries.SQL, **channel_queries.SQL, **service.SQL}
