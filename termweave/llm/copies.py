@@ -22,8 +22,8 @@ _LOOSE = rf"{_MARK}(?![0-9])|(?<![0-9]){_MARK}"
 
 
 def folded(value: Column) -> Column:
-    """Case removed; upper first, so that letters with several lower-case forms agree."""
-    return F.lower(F.upper(value))
+    """Case removed; upper first, so that letters with several lower-case forms agree; a sharp s is two."""
+    return F.replace(F.lower(F.upper(value)), F.lit("ß"), F.lit("ss"))
 
 
 def stripped(value: Column) -> Column:
@@ -100,7 +100,7 @@ def _sql(name: str, id_col: str, value: str, same: list[str]) -> str:
     cols = ", ".join(same)
     return f"""
   SELECT '{name}' AS tbl, {id_col} AS id, min({id_col}) OVER w AS keep_id, count(*) OVER w AS n_copies
-  FROM (SELECT {id_col}, {cols}, list_aggregate(list_sort(list_filter(list_transform(string_split(lower(upper({value})), ';'),
+  FROM (SELECT {id_col}, {cols}, list_aggregate(list_sort(list_filter(list_transform(string_split(replace(lower(upper({value})), 'ß', 'ss'), ';'),
       lambda f: list_aggregate(list_filter(list_transform(range(1, length(f) + 1), lambda i:
         CASE WHEN NOT regexp_full_match(f[i], '{mark}') OR (regexp_full_match(f[i - 1], '[0-9]') AND i > 1 AND regexp_full_match(f[i + 1], '[0-9]'))
              THEN f[i] ELSE '' END), lambda c: c <> ''), 'string_agg', '')), lambda x: x <> '' AND x IS NOT NULL)), 'string_agg', ';') AS k

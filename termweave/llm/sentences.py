@@ -68,7 +68,7 @@ def _starts_small(text: str, at: int) -> bool:
 
 
 def evidence(text: str) -> tuple[Counter, Counter, Counter, Counter]:
-    """Of one text: words before a period that goes on unambiguously; words before any period; words without a period; capitalised words in the middle of a sentence."""
+    """Of one text: words before a period that goes on unambiguously; words before any period; words without a period; words as written, if capitalised only in the middle of a sentence."""
     goes_on, dotted, plain, names = Counter(), Counter(), Counter(), Counter()
     for m in _DOTTED.finditer(text):
         word = m.group(1).lower()
@@ -80,7 +80,7 @@ def evidence(text: str) -> tuple[Counter, Counter, Counter, Counter]:
         a, b = m.span()
         if text[b : b + 1] != ".":
             plain[m.group().lower()] += 1
-        if m.group()[0].isupper() and a >= 2 and text[a - 1] == " " and (text[a - 2].islower() or text[a - 2] == ","):
+        if m.group().islower() or a >= 2 and text[a - 1] == " " and (text[a - 2].islower() or text[a - 2] == ","):
             names[m.group()] += 1
     return goes_on, dotted, plain, names
 
@@ -335,8 +335,8 @@ class Splitter:
 
     def _is_name(self, word: str) -> bool:
         """A word written large in the middle of a sentence somewhere in the document and never small."""
-        _, _, plain, names = self._seen()
-        return bool(word) and names[word] > 0 and names[word] >= plain[word.lower()] - names[word]
+        names = self._seen()[3]
+        return word[:1].isupper() and names[word] > 0 and not names[word.lower()]
 
 
 def corpus_abbreviations(docs: DataFrame, text: str) -> frozenset[str]:
