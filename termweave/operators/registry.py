@@ -38,7 +38,7 @@ def expand(df: DataFrame, short: str, index: DataFrame, out: str = "iri") -> Dat
     text = F.col(short)
     places = F.filter(F.sequence(F.lit(2), F.greatest(F.length(text), F.lit(2))), lambda i: F.substring(text, i, F.lit(1)) == F.when(text.contains(":"), ":").otherwise("_"))
     split = F.transform(F.reverse(places), lambda i: F.struct(ids.normal_prefix(F.substring(text, F.lit(1), i - 1)).alias("key"), F.substring(text, i + 1, F.length(text)).alias("local")))
-    tries = df.select(short).distinct().filter(~text.rlike(r"\Ahttps?://")).select(short, F.posexplode(split).alias("at", "s")).select(short, "at", "s.*")
+    tries = df.select(short).distinct().filter(~text.rlike(r"\Ahttps?://")).select(short, F.posexplode(split).alias("at", "_split")).select(short, "at", "_split.*")
     hits = tries.join(small_side(index), "key").filter(F.col("pattern").isNull() | F.expr("regexp_like(local, concat('\\\\A(?:', pattern, ')\\\\z'))"))
     best = hits.groupBy(short).agg(F.min_by(F.concat("base", "local"), "at").alias("_iri"))
     return df.join(best, short, "left").withColumn(out, F.coalesce("_iri", short)).drop("_iri")
