@@ -313,7 +313,7 @@ class Splitter:
                 return True
             if word == "C" and previous == "deg.":
                 return True
-            return False
+            return word.islower() and previous.strip(".,").replace(",", "").replace(".", "").isdigit() and not f.isdigit()  # a unit behind its number
         if "." in word and _LETTERS.fullmatch(word.replace(".", "")) and all(len(p) == 1 for p in word.split(".")):
             return not f.isdigit() and not self._is_name(nextword)
         if len(low) <= 6 and (self._document_says(low) or low in self.corpus and not self._known_plain(low)):

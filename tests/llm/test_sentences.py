@@ -17,6 +17,7 @@ CASES = [
     ["ค่าที่วัดได้คือ 32.50 หน่วย", "เราไม่พบ Morvit ในเนื้อเยื่อ", "ฉลากเดิมถูกลบแล้ว"],
     ["رأى د. طارفي علامة في الكبد.", "هل هذا هو؟", "انظر ص. 13 من السجل."],
     ["« C’est X. Rien de plus. », note Bo.", "Attention, X manque !", "Est-ce bien Y ?"],
+    ["After 3 h it rose to 1,163 h.", "The note fell to .5 h.", "Через 4 ч. запись сняли."],
     ["It was stage I.", "The donors at 9 a.m. left.", "It ended at 9 p.m.", "We fell."],
 ]
 
