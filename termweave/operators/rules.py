@@ -220,12 +220,13 @@ def mark_preferred(df: DataFrame, preferred: tuple[str, ...]) -> DataFrame:
 
 def _shared(df: DataFrame, f: Filter, excluded: list[str], priors: list) -> DataFrame:
     e = required_sources(exclude_terms(df, excluded), f.required)
-    return corroborate(type_prior(classify(defining_only(hard_ontologies(e, f), f)), priors))
+    # An aggregate joined back reads its input twice; written tables in between keep that from multiplying.
+    e = cut_lineage(classify(defining_only(hard_ontologies(e, f), f)))
+    return corroborate(cut_lineage(type_prior(e, priors)) if priors else e)
 
 
 def reduce_full(df: DataFrame, f: Filter = Filter(), excluded: list[str] = [], priors: list = []) -> DataFrame:  # noqa: B006
     """All rules in order: exclusion, sources, ontologies, namespaces, type prior, corroboration, embedding rules, pruning, one per term, targets, preference."""
-    # Each aggregate joined back reads its input twice; two written tables keep that from multiplying.
     e = prune_weak(embedding_rules(cut_lineage(_shared(df, f, excluded, priors))), f)
     return mark_preferred(higher_priority_on_tie(best_per_target(cut_lineage(one_per_term(e)), f), f), f.preferred)
 
