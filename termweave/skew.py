@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from termweave.session import cut_lineage
+
 #: At most this many keys can be hot, as a hot key holds more than 1/HOT_KEYS of all rows.
 HOT_KEYS = 2_000
 #: Below this many rows a key is never worth splitting.
@@ -46,3 +48,23 @@ def dense_positions(df: DataFrame, group: str, order: str, out: str = "pos", sli
         .withColumn(out, F.col("_before") + F.col("_rn"))
         .drop("_slice", "_rn", "_g", "_s", "_before")
     )
+
+
+def ordered_positions(df: DataFrame, group: str, order: list[Column], out: str = "place") -> DataFrame:
+    """Number all rows of every group 1, 2, 3, ... in the given order without ever putting a whole group into one task.
+
+    The rows are cut into ranges of the group and the order, numbered inside each range, and shifted by what the group has in the ranges
+    before. ``order`` must be unique inside a group; then only the cuts, not the numbers, depend on Spark's sample. A null group is a group of its own.
+    """
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = cut_lineage(df.repartitionByRange(ranges, F.col(group), *order).withColumn("_range", F.spark_partition_id()))
+    sizes = cut.groupBy(group, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(F.col(group).alias("_g"), F.col("_range").alias("_r"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(group, "_range").orderBy(*order)
+    numbered = cut.withColumn("_rn", F.row_number().over(inside))
+    return (
+        numbered.join(offsets, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_range") == F.col("_r")))
+        .withColumn(out, F.col("_before") + F.col("_rn"))
+        .drop("_range", "_rn", "_g", "_r", "_before")
+    )
