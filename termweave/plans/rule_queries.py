@@ -10,6 +10,7 @@ from termweave.functions import ids
 from termweave.operators import rules
 from termweave.plans.filters import Filter
 from termweave.session import table
+from termweave.skew import ordered_positions
 from termweave.sources.adapter import EVIDENCE_SQL, evidence
 
 HARD = Filter(targets=("dizo", "phexo", "chemix"), include_other=False)
@@ -171,6 +172,12 @@ def rank_candidates(spark, sf_dir: str, n: int = 20) -> DataFrame:
     return _out(e.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n), "place")
 
 
+def rank_all(spark, sf_dir: str) -> DataFrame:
+    """All results of each property in rank order (W1 has no limit)."""
+    e = rules.mark_preferred(rules.one_per_term(rules.classify(evidence(spark, sf_dir))), FULL.preferred).select("prop_id", "seq", "term_id", "confidence", "preferred", "rank", "pos")
+    return _out(ordered_positions(e, "prop_id", rules.ranking()), "place")
+
+
 def escalation(spark, sf_dir: str) -> DataFrame:
     return rules.needs_deep(evidence(spark, sf_dir), DEFINING, None, EXCLUDED)
 
@@ -213,6 +220,7 @@ QUERIES = {
     "best_per_target": _rule(lambda e: rules.best_per_target(e, HARD)),
     "priority_tie": _rule(lambda e: rules.higher_priority_on_tie(e, HARD)),
     "rank_candidates": rank_candidates,
+    "rank_all": rank_all,
     "escalation": escalation,
     "map_full": map_full,
     "map_light": map_light,
@@ -237,6 +245,7 @@ SQL = {
     "best_per_target": _with(_C, _per_target("c", "o", HARD), select=f"{_OUT} FROM o"),
     "priority_tie": _with(_C, _tie("c", "o", HARD), select=f"{_OUT} FROM o"),
     "rank_candidates": _with(_C, _one("c", "o"), _preferred("o", "q", FULL), select=f"SELECT * FROM ({_OUT}, row_number() OVER (PARTITION BY prop_id ORDER BY q.confidence DESC, coalesce(preferred, false) DESC, rank, pos) AS place FROM q) WHERE place <= 20"),
+    "rank_all": _with(_C, _one("c", "o"), _preferred("o", "q", FULL), select=f"{_OUT}, row_number() OVER (PARTITION BY prop_id ORDER BY q.confidence DESC, coalesce(preferred, false) DESC, rank, pos) AS place FROM q"),
     "escalation": _with(
         _exclude("ev", "x"),
         select=f"SELECT DISTINCT prop_id FROM ev WHERE prop_id NOT IN (SELECT prop_id FROM x WHERE confidence >= 0.7 AND ({_target(DEFINING.targets)}) IS NOT NULL AND coalesce({_PREFIX} IN {_list(DEFINING.targets)}, true))",

@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from termweave.plans import channel_queries
+from termweave.plans import channel_queries, rule_queries
 from termweave.skew import ordered_positions
 
 
@@ -25,3 +25,10 @@ def test_vote_history_all_keeps_every_vote(spark, tmp_path):
     got = {(r.property_value, r.place): r.id for r in channel_queries.vote_history_all(spark, str(tmp_path)).collect()}
     want = {("hot", n): x[1] for n, x in enumerate(sorted(rows[:500], key=lambda x: (x[3], x[1]), reverse=True), 1)}
     assert got == want | {("few", 1): 900}
+
+
+def test_rank_all_keeps_every_result(spark, small):
+    ranked = rule_queries.rank_all(spark, small)
+    assert ranked.count() == rule_queries.dedup_by_term(spark, small).count()
+    top = ranked.filter("place <= 20").exceptAll(rule_queries.rank_candidates(spark, small))
+    assert top.count() == 0
