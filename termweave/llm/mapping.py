@@ -1,15 +1,18 @@
 """Problem 5: free-typed values mapped to the closest entry of a reference list.
 
-A prefix-filter set-similarity join. Values and names are brought to a comparable string and cut into character trigrams. Trigrams
-are ordered by their rarity among the names; two sets of a given Jaccard similarity must share a trigram among their first, rarest
-ones, so only these prefixes are joined, under length and positional filters. Candidates are verified by exact Jaccard; the best
-one is kept if an exact check of edits finds nothing but slips of typing between the strings.
+Values and names are brought to a comparable string. Candidates are all pairs within the slips that the name allows, by two joins.
+Longer names: a prefix-filter join on character trigrams, numbered where they repeat. Trigrams are ordered by their rarity among the
+names; as slips and a rotation break at most BROKEN of them, two strings must share one among their first, rarest ones, so only these
+prefixes are joined, under a positional filter. Names of up to SHORT letters, where nothing may be left to share: a join on what
+remains of each rotation and of the value when as many letters as slips are allowed are deleted. An exact check of edits decides; of several
+names the one with fewest slips is kept, then the most similar by Jaccard.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -19,7 +22,7 @@ from pyspark.sql import types as T
 from termweave.llm.lookalike import look
 from termweave.session import cut_lineage, small_side, table
 
-#: Least Jaccard similarity of the trigram sets.
+#: Least Jaccard similarity of the trigram sets in a join that names none; map_values names 0, as slips alone decide there.
 LEAST = 0.3
 # Letters written as words.
 GREEK = {"α": "alpha", "β": "beta", "γ": "gamma", "δ": "delta", "ε": "epsilon", "κ": "kappa", "λ": "lambda", "μ": "mu", "ω": "omega"}
@@ -94,6 +97,26 @@ def _digits(s: str) -> str:
     return "".join(sorted(c for c in s if c.isdigit()))
 
 
+def typed_forms(value: str) -> set[str]:
+    """The strings without blanks that stand for a comparable value: with and without its empty words, "the", "etc" and "nos"."""
+    return {form for typed in (value.replace(" ", ""), content(value)) for form in (typed, typed.removeprefix("the"), typed.removesuffix("etc"), typed.removesuffix("nos"))} - {""}
+
+
+def turned_forms(name: str) -> set[str]:
+    """The rotations of a comparable name's words, run together, with and without its empty words."""
+    every = (name.split(), [w for w in name.split() if w not in EMPTY])
+    return {"".join(words[i:] + words[:i]) for words in every for i in range(len(words))}
+
+
+def deletions(s: str, most: int) -> set[str]:
+    """What is left of a string after at most so many deletions; strings within that many slips have one in common."""
+    every = last = {s}
+    for _ in range(most):
+        last = {x[:i] + x[i + 1 :] for x in last for i in range(len(x))}
+        every = every | last
+    return every
+
+
 def distance(value: str, name: str) -> int | None:
     """Slips between comparable strings whatever the rotation of the name's words and the blanks; None if the value does not name it: too many slips or other digits."""
     if _digits(value) != _digits(name):
@@ -120,6 +143,53 @@ def _content(words: pa.Array) -> pa.Array:
     return pa.array([content(w) for w in words.to_pylist()], pa.string())
 
 
+def value_keys(value: str) -> list[str]:
+    """What a value shares with every name of up to SHORT letters that it may stand for: the slips of the name and a string."""
+    keys = set()
+    for form in typed_forms(value):
+        for most in range(3):
+            if len(form) <= SHORT + most and allowed("x" * (len(form) + most)) >= most:
+                keys.update(f"{most}{x}" for x in deletions(form, most))
+    return list(keys)
+
+
+def name_keys(name: str) -> list[str]:
+    """The counterpart of value_keys."""
+    most = allowed(content(name))
+    return list({f"{most}{x}" for turned in turned_forms(name) if len(turned) <= SHORT for x in deletions(turned, most)})
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _value_keys(words: pa.Array) -> pa.Array:
+    return pa.array([value_keys(w) for w in words.to_pylist()], pa.list_(pa.string()))
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _name_keys(names: pa.Array) -> pa.Array:
+    return pa.array([name_keys(n) for n in names.to_pylist()], pa.list_(pa.string()))
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _typed_forms(words: pa.Array) -> pa.Array:
+    return pa.array([list(typed_forms(w)) for w in words.to_pylist()], pa.list_(pa.string()))
+
+
+def _numbered(s: str) -> list[str]:
+    seen: dict[str, int] = {}
+    out = []
+    for i in range(max(len(s) - 2, 1)):
+        gram = s[i : i + 3]
+        seen[gram] = n = seen.get(gram, 0) + 1
+        out.append(gram if n == 1 else f"{gram}{n}")
+    return out
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def numbered_trigrams(texts: pa.Array) -> pa.Array:
+    """The character trigrams, a repeated one with its number, so that a set of them has one for every place."""
+    return pa.array([_numbered(s) for s in texts.to_pylist()], pa.list_(pa.string()))
+
+
 @F.arrow_udf(T.IntegerType())
 def _distance(values: pa.Array, names: pa.Array) -> pa.Array:
     return pa.array([distance(v, n) for v, n in zip(values.to_pylist(), names.to_pylist())], pa.int32())
@@ -141,18 +211,20 @@ def names_of(terms: DataFrame, key: str, label: str, synonyms: str) -> DataFrame
 
 #: Trigrams that two slips (a swap breaks four each) and a rotation (two) can break.
 BROKEN = 10
+#: Names of so many letters have no more than BROKEN trigrams and share none for certain.
+SHORT = BROKEN + 2
 
 
-def similarity_join(left: DataFrame, right: DataFrame, least: float = LEAST, broken: int = BROKEN) -> DataFrame:
+def similarity_join(left: DataFrame, right: DataFrame, least: float = LEAST, broken: int = BROKEN, grams: Callable[[Column], Column] = trigrams) -> DataFrame:
     """l, r, jaccard of every pair of distinct strings (columns l and r) whose trigram sets have at least this Jaccard similarity and miss at most
     ``broken`` trigrams of either.
 
     Trigrams are ordered by their number of names on the right, then by themselves; those unknown there come first. A set of n
     trigrams must share at least k = max(ceil(least * n), n - broken), so it sends its first n - k + 1. Pairs that the lengths or the places of a shared trigram rule out are dropped
-    before verification. Repeated strings count once. An empty side gives no rows.
+    before verification. Repeated strings count once. An empty side gives no rows. ``grams`` cuts a string into distinct parts.
     """
-    right = right.select("r", trigrams(F.col("r")).alias("grams"))
-    left = left.select("l", trigrams(F.col("l")).alias("grams"))
+    right = right.select("r", grams(F.col("r")).alias("grams"))
+    left = left.select("l", grams(F.col("l")).alias("grams"))
     rarity = small_side(right.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("df")))
 
     def ordered(df: DataFrame, name: str) -> DataFrame:
@@ -187,6 +259,23 @@ def similarity_join(left: DataFrame, right: DataFrame, least: float = LEAST, bro
     )
 
 
+def _jaccard(a: Column, b: Column) -> Column:
+    common = F.size(F.array_intersect(a, b))
+    return common / (F.size(a) + F.size(b) - common)
+
+
+def candidates(values: DataFrame, names: DataFrame) -> DataFrame:
+    """words, full: every pair of distinct comparable values (words) and names (full) that distance() accepts, and others."""
+    values = cut_lineage(values.select("words", _typed_forms(F.col("words")).alias("forms"), _value_keys(F.col("words")).alias("keys")))
+    short = names.select("full", F.explode(_name_keys(F.col("full"))).alias("k"))
+    by_key = values.select("words", F.explode("keys").alias("k")).join(small_side(short), "k").select("words", "full")
+    forms = values.select("words", F.explode("forms").alias("l")).filter(F.length("l") > SHORT - 2)
+    strings = cut_lineage(names.select("full", F.explode(F.array_distinct(F.array(F.regexp_replace("full", " ", ""), _content(F.col("full"))))).alias("r")).filter(F.length("r") > SHORT))
+    near = similarity_join(forms.select("l").distinct(), strings.select("r").distinct(), 0.0, BROKEN, numbered_trigrams).filter(F.abs(F.length("l") - F.length("r")) <= 2).select("l", "r")
+    by_trigram = near.join(forms, "l").join(small_side(strings), "r").select("words", "full")
+    return by_key.unionByName(by_trigram).distinct()
+
+
 def map_values(values: DataFrame, value_id: str, value: str, terms: DataFrame, key: str, label: str, synonyms: str) -> DataFrame:
     """value_id, key, jaccard for every value: the term it names, or '' with null jaccard if it names none.
 
@@ -198,9 +287,9 @@ def map_values(values: DataFrame, value_id: str, value: str, terms: DataFrame, k
     names = names_of(terms, key, label, synonyms).withColumn("full", _comparable(F.col("name"))).withColumn("r", _content(F.col("full"))).filter("r <> ''")
     names = cut_lineage(names.groupBy("r").agg(F.min("full").alias("full"), F.min("key").alias("key"), F.countDistinct("key").alias("keys")).filter("keys = 1").drop("keys"))
     wanted = cut_lineage(wanted)
-    near = similarity_join(wanted.select("l").distinct(), names.select("r"))
-    judged = near.join(wanted, "l").join(small_side(names), "r").withColumn("slips", _distance(F.col("words"), F.col("full"))).filter("slips is not null")
-    best = judged.groupBy("words").agg(F.min(F.struct("slips", (-F.col("jaccard")).alias("minus"), "key")).alias("b")).select("words", F.col("b.key").alias("key"), (-F.col("b.minus")).alias("jaccard"))
+    judged = candidates(wanted.select("words"), names.select("full")).withColumn("slips", _distance(F.col("words"), F.col("full"))).filter("slips is not null")
+    judged = judged.join(wanted, "words").join(small_side(names), "full").withColumn("jaccard", _jaccard(trigrams(F.col("l")), trigrams(F.col("r"))))
+    best = cut_lineage(judged.groupBy("words").agg(F.min(F.struct("slips", (-F.col("jaccard")).alias("minus"), "key")).alias("b")).select("words", F.col("b.key").alias("key"), (-F.col("b.minus")).alias("jaccard")))
     # The best terms are broadcast if few; else Spark shuffles and splits a skewed value such as a filler at run time.
     return rows.join(small_side(best), "words", "left").select(F.col("_id").alias(value_id), F.coalesce("key", F.lit("")).alias(key), "jaccard")
 
