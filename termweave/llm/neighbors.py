@@ -7,7 +7,7 @@ tables (two four-bit codes share one table of 256 sums, sixteen-bit, added for a
 part are ranked again by exact cosine in double precision.
 
 The index is trained on a bounded sample (SAMPLE vectors per model, the smallest by a hash of the id) but holds every vector that can
-be an answer: of exactly equal vectors only the k + 1 smallest ids can be, as ties go to the smaller id; all of them are queries.
+be an answer: of vectors of exactly one direction only the k + 1 smallest ids can be, as ties go to the smaller id; all of them are queries.
 Parts are cut into blocks of vectors and of queries, so that a hot part is many small tasks.
 """
 
@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from termweave.functions.let import let
 from termweave.session import cut_lineage, table
 from termweave.skew import join_on_skewed_key
 
@@ -33,6 +34,8 @@ PART, MOST_PARTS = 1_000, 2_048
 PROBES = 4
 #: Candidates per part that are ranked again exactly.
 RERANK = 64
+#: Vectors compared exactly in one step.
+CELLS = 32_768
 #: Vectors and queries in one block.
 BLOCK = 16_384
 #: Inner products from this threshold on are to be exact; gives the weight of the parallel error.
@@ -129,8 +132,11 @@ def learn(x: np.ndarray, parts: int, rounds: int = 3) -> Index:
     return Index(centroids, books.astype(np.float32))
 
 
-def scan(q: np.ndarray, codes: np.ndarray, books: np.ndarray, keep: int) -> np.ndarray:
-    """For each query the places of the ``keep`` best rows by table sums. ``codes`` has two four-bit codes a byte."""
+def scan(q: np.ndarray, codes: np.ndarray, books: np.ndarray, keep: int) -> list[np.ndarray]:
+    """For each query the places of the ``keep`` best rows by table sums, and of all that tie with the last of them; where few tie, of some more.
+
+    ``codes`` has two four-bit codes a byte.
+    """
     n, pairs = codes.shape
     keep = min(keep, n)
     table_ = np.einsum("mcs,qms->mcq", books, q.reshape(len(q), SPLITS, SUB))
@@ -141,8 +147,20 @@ def scan(q: np.ndarray, codes: np.ndarray, books: np.ndarray, keep: int) -> np.n
         np.take(both[j], codes[:, j], axis=0, out=row)
         sums += row
     if keep == n:
-        return np.broadcast_to(np.arange(n), (len(q), n))
-    return np.argpartition(np.ascontiguousarray(-sums.T), keep - 1, axis=1)[:, :keep]
+        return [np.arange(n)] * len(q)
+    far = np.ascontiguousarray(-sums.T)
+    best = np.argpartition(far, keep - 1, axis=1)[:, :keep]
+    last = np.take_along_axis(far, best[:, -1:], 1)
+    within = (far <= last).sum(1)
+    found, wide = list(best), min(2 * keep, n)
+    few = np.flatnonzero((within > keep) & (within <= wide))
+    if len(few):
+        more = np.argpartition(far[few], wide - 1, axis=1)[:, :wide]
+        for i, places in zip(few, more):
+            found[i] = places
+    for i in np.flatnonzero(within > wide):
+        found[i] = np.flatnonzero(far[i] <= last[i])
+    return found
 
 
 def search(q: np.ndarray, x: np.ndarray, ids: np.ndarray, codes: np.ndarray, books: np.ndarray, k: int, step: int = 256) -> tuple[np.ndarray, np.ndarray]:
@@ -153,11 +171,16 @@ def search(q: np.ndarray, x: np.ndarray, ids: np.ndarray, codes: np.ndarray, boo
     found, near = np.empty((len(q), k), np.int64), np.empty((len(q), k))
     single = q.astype(np.float32)
     for a in range(0, len(q), step):
-        some = np.sort(scan(single[a : a + step], codes, books, max(RERANK, k)), axis=1)  # by id
-        exact = np.round(np.matmul(x[some], q[a : a + step, :, None])[:, :, 0], 9)
-        best = np.argsort(-exact, axis=1, kind="stable")[:, :k]
-        found[a : a + step] = ids[np.take_along_axis(some, best, 1)]
-        near[a : a + step] = np.take_along_axis(exact, best, 1)
+        places = scan(single[a : a + step], codes, books, max(RERANK, k))
+        lengths = np.array([len(p) for p in places])
+        for length in np.unique(lengths):
+            of = np.flatnonzero(lengths == length)
+            for some_of in np.array_split(of, -(-len(of) * length // CELLS)):
+                some = np.sort(np.stack([places[i] for i in some_of]), axis=1)  # by id
+                exact = np.round(np.matmul(x[some], q[a + some_of][:, :, None])[:, :, 0], 9)
+                best = np.argsort(-exact, axis=1, kind="stable")[:, :k]
+                found[a + some_of] = ids[np.take_along_axis(some, best, 1)]
+                near[a + some_of] = np.take_along_axis(exact, best, 1)
     return found, near
 
 
@@ -192,9 +215,11 @@ def neighbours(df: DataFrame, id_col: str, model: str, vector: str, k: int) -> D
     Vectors that are not usable, and null models, appear nowhere. Ids must be unique. Empty tables give no rows.
     """
     rows = usable(df.select(F.col(id_col).alias("emb_id"), F.col(model).alias("model"), F.col(vector).alias("v")), "v").filter("model is not null")
-    # Equal vectors form a class: -0.0 and 0.0 are equal, as the sum with 0.0 makes them.
+    # Vectors of one direction form a class: exact multiples have the same quotients by their largest component; -0.0 and 0.0 are equal, as the sum with 0.0 makes them.
     rows = rows.withColumn("v", F.transform("v", lambda x: x + F.lit(0).cast("float")))
-    rows = rows.withColumn("class", F.concat_ws(":", F.xxhash64("v", "model"), F.hash("model", "v")))
+    top = F.array_max(F.transform("v", lambda x: F.abs(x).cast("double")))
+    turn = let(top, lambda t: F.transform("v", lambda x: x.cast("double") / t))
+    rows = rows.withColumn("class", let(turn, lambda v: F.concat_ws(":", F.xxhash64(v, "model"), F.hash("model", v))))
     w = Window.partitionBy("class").orderBy("emb_id")
     members = cut_lineage(rows.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k + 1))
     sizes = {r["model"]: r["count"] for r in members.groupBy("model").count().collect()}  # one row per model
@@ -203,7 +228,8 @@ def neighbours(df: DataFrame, id_col: str, model: str, vector: str, k: int) -> D
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            unit = _matrix(b.column("v")).astype(np.float32)
+            # Multiples that single precision rounds differ in the last digits; without those they get the same codes and tie.
+            unit = np.round(_matrix(b.column("v")), 3).astype(np.float32)
             models = np.array(b.column("model").to_pylist(), dtype=object)
             part, codes = np.zeros(len(b), np.int32), np.zeros((len(b), SPLITS), np.uint8)
             for m in set(models.tolist()):
