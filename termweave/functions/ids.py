@@ -12,7 +12,22 @@ def blank(text: Column) -> Column:
 
 def local_part(iri: Column) -> Column:
     """What follows the last slash or hash."""
-    return F.regexp_extract(iri, r"([^/#]*)\z", 1)
+    return F.substring_index(F.translate(iri, "#", "/"), "/", -1)
+
+
+def forms_of(given: str) -> set[str]:
+    """comparison_forms of an id or IRI that a caller names."""
+    low = given.lower()
+    local = low.replace("#", "/").rpartition("/")[2]
+    return {low, local} if low.startswith(("http://", "https://")) and ("_" in local or ":" in local) else {low}
+
+
+def is_one_of(term_id: Column, iri: Column, forms: list[str]) -> Column:
+    """Whether any comparison form of a term is among the forms."""
+    local = local_part(iri)
+    bears = F.contains(local, F.lit("_")) | F.contains(local, F.lit(":"))
+    hit = lambda c: F.coalesce(F.lower(c).isin(forms), F.lit(False))
+    return hit(term_id) | hit(iri) | (F.coalesce(bears, F.lit(False)) & hit(local))
 
 
 def comparison_forms(term_id: Column, iri: Column) -> Column:
@@ -29,9 +44,10 @@ def comparison_forms(term_id: Column, iri: Column) -> Column:
 
 def prefix_of(id_or_iri: Column) -> Column:
     """The namespace of an id or IRI in small letters: before the first colon, else before the first underscore; null if there is none."""
-    local = F.when(id_or_iri.rlike(r"\Ahttps?://"), local_part(id_or_iri)).otherwise(id_or_iri)
-    colon, underscore = F.regexp_extract(local, r"\A([^:]+):", 1), F.regexp_extract(local, r"\A([^_]+)_", 1)
-    return F.lower(F.when(~blank(id_or_iri), F.coalesce(F.nullif(colon, F.lit("")), F.nullif(underscore, F.lit("")))))
+    full = F.startswith(id_or_iri, F.lit("http://")) | F.startswith(id_or_iri, F.lit("https://"))
+    local = F.when(full, local_part(id_or_iri)).otherwise(id_or_iri)
+    before = lambda mark: F.when(F.instr(local, mark) > 1, F.substring_index(local, mark, 1))
+    return F.lower(F.when(~blank(id_or_iri), F.coalesce(before(":"), before("_"))))
 
 
 def target_of(ontology: Column, term_id: Column, targets: list[str]) -> Column:

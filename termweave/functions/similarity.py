@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # Words that say nothing about what a text names.
 STOPWORDS = ("a", "an", "the", "of", "to", "in", "on", "by", "via", "and", "or", "with", "for", "from", "at", "as", "is", "into", "during")
-#: Score of a text that is contained among ever more other words.
+# Fixed value: what a contained text is worth at least, however many other words stand around it.
 CONTAINMENT_FLOOR = 0.5
 
 
@@ -21,6 +21,13 @@ def content_tokens(text: Column) -> Column:
     return F.array_except(tokens(text), F.array(*map(F.lit, STOPWORDS)))
 
 
+def trigrams(text: Column) -> Column:
+    """The set of runs of three characters of a text trimmed, in small letters and single-spaced; a shorter text is its own; '' has none."""
+    folded = _folded(text)
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(folded) - 2, F.lit(1))), lambda i: F.substring(folded, i, F.lit(3)))
+    return F.array_distinct(F.filter(grams, lambda g: g != ""))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Of two token sets: 1 if both are empty, 0 if one is."""
     both = F.size(F.array_intersect(a, b))
@@ -42,7 +49,7 @@ def blended(a: Column, b: Column) -> Column:
 
 
 def containment_score(least: Column, n: Column) -> Column:
-    """1 for a text of no more content tokens than the tightest, falling towards the floor."""
+    """Half of the score is certain; the other half is the share that the fewest tokens have in ``n``."""
     return F.when(n <= least, F.lit(1.0)).otherwise(CONTAINMENT_FLOOR + (1 - CONTAINMENT_FLOOR) * (least / n))
 
 

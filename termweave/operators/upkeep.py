@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from termweave.session import cut_lineage
+
 
 def upsert(stored: DataFrame, new: DataFrame, keys: list[str], age: str) -> DataFrame:
     """Both tables' rows, the newest of each key by ``age`` (nulls oldest); a new row wins ties. Null keys equal each other."""
@@ -38,17 +40,25 @@ def fresh(age: Column, now: Column, days: int) -> Column:
 def newest_within(df: DataFrame, age: str, tie: str, size: Column, cap: int, keep: float = 0.9) -> DataFrame:
     """If all sizes together exceed ``cap``, the newest rows whose sizes sum to at most ``keep`` * cap; else all rows.
 
-    The running sum is made of sums by hour, summed newest first over that small table, and a window inside each hour, so no task sees
-    all rows. ``tie`` is unique and orders rows of one age. Null ages are oldest; null sizes count 0.
+    The rows are cut into ranges of age and tie, newest first; a running sum inside each range is shifted by what the ranges before it hold, a table of
+    one row per range. So no task sees all rows, nor all rows of a busy hour or of a null age. ``tie`` is unique and orders
+    rows of one age. Null ages are oldest; null sizes count 0.
     """
-    rows = df.withColumn("_s", F.coalesce(size, F.lit(0)).cast("long")).withColumn("_h", F.coalesce(F.date_trunc("hour", age), F.lit("0001-01-01").cast("timestamp")))
-    hours = rows.groupBy("_h").agg(F.sum("_s").alias("_hs"))
-    newer = Window.orderBy(F.col("_h").desc()).rowsBetween(Window.unboundedPreceding, -1)  # one row per hour
-    everything = Window.partitionBy()
-    hours = hours.select(F.col("_h").alias("_hh"), F.coalesce(F.sum("_hs").over(newer), F.lit(0)).alias("_before"), F.sum("_hs").over(everything).alias("_all"))
-    inside = Window.partitionBy("_h").orderBy(F.col(age).desc_nulls_last(), F.col(tie).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    run = rows.withColumn("_run", F.sum("_s").over(inside)).join(hours, F.col("_h") == F.col("_hh"))
-    return run.filter((F.col("_all") <= cap) | (F.col("_before") + F.col("_run") <= F.lit(keep * cap))).drop("_s", "_h", "_hh", "_run", "_before", "_all")
+    order = [F.col(age).desc_nulls_last(), F.col(tie).desc()]
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.withColumn("_s", F.coalesce(size, F.lit(0)).cast("long")).repartitionByRange(ranges, *order).withColumn("_r", F.spark_partition_id())
+    rows = cut_lineage(rows)
+    sums = {r["_r"]: r["n"] for r in rows.groupBy("_r").agg(F.sum("_s").alias("n")).collect()}  # one row per range
+    if sum(sums.values()) <= cap:
+        return rows.drop("_s", "_r")
+    before, so_far = [], 0
+    for r in sorted(sums):
+        before.append((r, so_far))
+        so_far += sums[r]
+    offsets = F.broadcast(df.sparkSession.createDataFrame(before, "_r int, _before long"))
+    inside = Window.partitionBy("_r").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    run = rows.withColumn("_run", F.sum("_s").over(inside)).join(offsets, "_r")
+    return run.filter(F.col("_before") + F.col("_run") <= F.lit(keep * cap)).drop("_s", "_r", "_run", "_before")
 
 
 def chunks(sizes: list[int], most_items: int = 500, most_size: int = 64 * 1024) -> list[list[int]]:

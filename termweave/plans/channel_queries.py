@@ -113,7 +113,7 @@ def xref_expansion(spark, sf_dir: str) -> DataFrame:
 
 
 def obsolete_chain(spark, sf_dir: str) -> DataFrame:
-    return obsolete.resolve_chains(terms(spark, sf_dir))
+    return obsolete.resolve_chains(terms(spark, sf_dir)).drop("trail")
 
 
 def live_evidence(spark, sf_dir: str) -> DataFrame:
@@ -274,7 +274,7 @@ SELECT doc_id, "start", "end", iri, min(string_type) AS string_type FROM x JOIN
     "vector_topk": f"WITH {_NEAR} SELECT query_id, id, place, round(s, 6) AS similarity FROM ranked WHERE place <= 10",
     "similar_expansion": f"""WITH {EVIDENCE_SQL}, {_NEAR}, m AS (SELECT (max(vec_id) + 50) // 50 AS m FROM embeddings)
 SELECT prop_id, seq, 'v' || id AS other, round(confidence * 0.7 * s, 6) AS confidence FROM ev, m, ranked
-WHERE place <= 50 AND confidence > 0.4 AND kind <> 'VECTOR' AND s >= 0.4 AND query_id = CAST(regexp_extract(term_id, '([0-9]+)$', 1) AS BIGINT) % m.m * 50""",
+WHERE place <= 50 AND confidence > 0.4 AND kind <> 'OLS_EMBEDDING' AND s >= 0.4 AND query_id = CAST(regexp_extract(term_id, '([0-9]+)$', 1) AS BIGINT) % m.m * 50""",
     "xref_expansion": f"""WITH {EVIDENCE_SQL}, x AS (SELECT iri AS source, term_replaced_by AS target_iri, coalesce(length(label), 0) % 3 + 1 AS distance FROM ols_terms WHERE term_replaced_by IS NOT NULL)
 SELECT prop_id, seq, target_iri, distance, round(confidence * CASE distance WHEN 1 THEN 0.95 ELSE 0.85 END, 6) AS confidence FROM ev JOIN x ON ev.iri = source WHERE distance <= 2""",
     "obsolete_chain": f"{_CHAIN} SELECT origin, iri, hops FROM chain",

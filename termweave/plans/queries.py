@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from termweave.operators import nested, strict_load
-from termweave.plans import channel_queries, rule_queries, service
+from termweave.plans import channel_queries, rule_queries, search_queries, service
 
 FLAGSHIP = "map_full"
 
@@ -14,7 +14,8 @@ QUERIES = {
     "p6_flat": nested.p6_flat,
     **rule_queries.QUERIES,
     **channel_queries.QUERIES,
+    **search_queries.QUERIES,
     **service.QUERIES,
 }
 
-SQL: dict[str, str] = {**rule_queries.SQL, **channel_queries.SQL, **service.SQL}
+SQL: dict[str, str] = {**rule_queries.SQL, **channel_queries.SQL, **search_queries.SQL, **service.SQL}

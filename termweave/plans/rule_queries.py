@@ -26,7 +26,7 @@ _case = lambda col, d: f"CASE {col} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v
 _METHOD = _case("kind", {k: f"'{m}'" for k, m in ev.METHODS.items()})
 _TIER = _case("kind", {k: f"'{t}'" for k, t in ev.KINDS.items()})
 _CAP = _case("tier", {t: c for t, (_, c, _) in _TIERS.items()})
-_RANK = _case("tier", {t: i * 2 for t, (i, _, _) in _TIERS.items()}) + " + CASE WHEN kind LIKE 'SEARCH%' THEN 1 ELSE 0 END"
+_RANK = _case("tier", {t: i * 2 for t, (i, _, _) in _TIERS.items()}) + " + CASE WHEN kind LIKE 'OLS_LEXICAL%' THEN 1 ELSE 0 END"
 _FULL = "tier IN (" + ", ".join(f"'{t}'" for t, (_, _, f) in _TIERS.items() if f) + ")"
 _PREFIX = "CASE WHEN strpos(term_id, '_') > 1 THEN lower(split_part(term_id, '_', 1)) END"
 _list = lambda xs: "(" + ", ".join(f"'{x}'" for x in xs) + ")"
@@ -74,12 +74,14 @@ def _prior(source: str, out: str) -> str:
 
 
 def _corroborate(source: str, out: str) -> str:
-    return f"""{out}0 AS (SELECT *, method || ':' || kind AS channel, row_number() OVER (PARTITION BY prop_id, term_key ORDER BY {_ORDER}) AS rn FROM {source}),
-{out}g AS (SELECT prop_id, term_key, list_distinct(list(channel) FILTER (confidence >= 0.5)) AS chans, max(channel) FILTER (rn = 1) AS won FROM {out}0 GROUP BY ALL),
-{out}1 AS (SELECT a.*, list_sort(list_filter(coalesce(chans, []), lambda c: c <> won)) AS sup FROM {out}0 a JOIN {out}g g ON a.prop_id = g.prop_id AND a.term_key IS NOT DISTINCT FROM g.term_key),
-{out} AS (SELECT * EXCLUDE (channel, rn, sup) REPLACE (CASE WHEN rn = 1 AND len(sup) > 0 AND term_key IS NOT NULL
-  THEN least(greatest({_CAP}, confidence), confidence + len(sup) * 0.02) ELSE confidence END AS confidence),
-  CASE WHEN rn = 1 AND len(sup) > 0 AND term_key IS NOT NULL THEN array_to_string(sup, ',') END AS supporting FROM {out}1)"""
+    return f"""{out}0 AS (SELECT *, method || ':' || kind AS channel, method || ':' || kind || '=' || coalesce(label, '') || '>' || coalesce(iri, '') AS note,
+  row_number() OVER (PARTITION BY prop_id, term_key ORDER BY {_ORDER}) AS rn FROM {source}),
+{out}c AS (SELECT prop_id, term_key, channel, min(seq) FILTER (confidence >= 0.5) AS first, arg_min(note, seq) FILTER (confidence >= 0.5) AS note, bool_or(rn = 1) AS won FROM {out}0 GROUP BY ALL),
+{out}g AS (SELECT prop_id, term_key, string_agg(note, ' | ' ORDER BY first) AS sup, count(*) AS n FROM {out}c WHERE NOT won AND first IS NOT NULL GROUP BY ALL),
+{out}1 AS (SELECT a.*, sup, coalesce(n, 0) AS n FROM {out}0 a LEFT JOIN {out}g g ON a.prop_id = g.prop_id AND a.term_key = g.term_key),
+{out} AS (SELECT * EXCLUDE (channel, note, rn, sup, n) REPLACE (CASE WHEN rn = 1 AND n > 0
+  THEN least(greatest({_CAP}, confidence), confidence + n * 0.02) ELSE confidence END AS confidence),
+  CASE WHEN rn = 1 AND n > 0 THEN sup END AS supporting FROM {out}1)"""
 
 
 def _no_embedding(source: str, out: str) -> str:
@@ -156,7 +158,8 @@ def property_type_prior(spark, sf_dir: str) -> DataFrame:
 
 def corroboration(spark, sf_dir: str) -> DataFrame:
     e = rules.corroborate(rules.classify(evidence(spark, sf_dir)))
-    return _out(e.withColumn("supporting", F.array_join("supporting", ",")), "supporting")
+    note = lambda c: F.concat(c[0]["method"], F.lit(":"), c[0]["matchType"], F.lit("="), F.coalesce(c[0]["matchedText"], F.lit("")), F.lit(">"), F.coalesce(c[0]["target"], F.lit("")))
+    return _out(e.withColumn("supporting", F.array_join(F.transform("supporting", note), " | ")), "supporting")
 
 
 def dedup_by_term(spark, sf_dir: str) -> DataFrame:

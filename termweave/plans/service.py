@@ -9,33 +9,37 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from termweave.functions import evidence as ev
+from termweave.functions import ids
 from termweave.functions import variants as var
-from termweave.operators import channels, nested, obsolete, rules, segments
+from termweave.operators import channels, nested, obsolete, rules, search, segments
 from termweave.plans.filters import Filter
-from termweave.session import cut_lineage, table
+from termweave.session import cut_lineage, materialised, small_side, table
 from termweave.sinks import responses
 from termweave.sources import adapter
 
-_COLUMNS = ("text", "iri", "term_id", "label", "ontology", "kind", "confidence", "datasource", "channel")
+_COLUMNS = ("text", "iri", "term_id", "label", "ontology", "kind", "confidence", "datasource", "channel", "chain")
+# Places of the channels in the list of evidence: search by words, by vectors, deep vectors, cross-references, near terms, then what tagging found.
+WORDS, VECTORS, DEEP_VECTORS, XREFS, NEAR, CURATED, TAGS, VARIANTS = range(1, 9)
 
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """terms (see sources.adapter), curated (text, term_id, datasource), xrefs (source_iri, target_iri, distance)."""
+    """terms (see sources.adapter); curated (text, term_id, datasource); xrefs (source_iri, target_id, target_iri, target_label, distance);
+    where vectors exist, text_vectors (id, text, vector) and term_vectors (id, iri, ontology, vector) of one model."""
 
     terms: DataFrame
     curated: DataFrame
     xrefs: DataFrame
+    text_vectors: DataFrame | None = None
+    term_vectors: DataFrame | None = None
+    model: str | None = None
 
 
-def vocabulary(spark, sf_dir: str) -> Vocabulary:
-    """Terms; curated strings from values voted up more often than down; cross-references from replacements."""
+def vocabulary(spark, sf_dir: str, model: str | None = None) -> Vocabulary:
+    """Terms; curated strings from values voted up more often than down; cross-references from replacements and from what terms name as such; the vectors of a model."""
     t = adapter.terms(spark, sf_dir)
-    v = table(spark, sf_dir, "votes").filter("property_value is not null and term_id is not null")
-    net = F.sum(F.when(F.col("vote") == "up", 1).otherwise(-1))
-    curated = v.groupBy(F.col("property_value").alias("text"), "term_id").agg(net.alias("net")).filter("net > 0").select("text", "term_id", F.lit("votes").alias("datasource"))
-    xrefs = t.filter("replaced_by is not null").select(F.col("iri").alias("source_iri"), F.col("replaced_by").alias("target_iri"), F.lit(1).alias("distance"))
-    return Vocabulary(t, curated, xrefs)
+    texts, terms = adapter.vectors(spark, sf_dir, model) if model else (None, None)
+    return Vocabulary(t, adapter.curated(spark, sf_dir), adapter.xrefs(spark, sf_dir), texts, terms, model)
 
 
 def distinct_properties(rows: DataFrame, type_col: str, text_col: str, ord_col: str) -> DataFrame:
@@ -44,77 +48,147 @@ def distinct_properties(rows: DataFrame, type_col: str, text_col: str, ord_col:
     return rows.filter(F.trim(F.col(text_col)) != "").groupBy(kind.alias("property_type"), F.col(text_col).alias("text")).agg(F.min(ord_col).alias("prop_id"))
 
 
-def _tagged(texts: DataFrame, v: Vocabulary) -> DataFrame:
-    entries = channels.dictionary(v.terms)
-    ids = v.terms.select("iri", F.col("short_form").alias("term_id"))
-    tags = channels.tag_evidence(channels.tag_values(texts, entries)).select("text", "iri", "label", "ontology", "kind", "confidence").withColumn("channel", F.lit(7))
-    each = texts.select("text", F.explode(var.variants(F.col("text"))).alias("variant"))
-    hit = each.join(entries, F.lower("variant") == F.col("surface")).withColumn("coverage", F.lit(1.0))
-    hit = channels.tag_evidence(hit, ev.VARIANT_DISCOUNT).groupBy("text", "iri").agg(F.max_by(F.struct("label", "ontology", "kind", "confidence"), "confidence").alias("b")).select("text", "iri", "b.*")
-    hit = hit.join(tags.select("text", "iri"), ["text", "iri"], "left_anti").withColumn("channel", F.lit(8))
-    lexical = tags.unionByName(hit).join(ids, "iri").withColumn("datasource", F.col("ontology"))
-    named = v.terms.select("iri", F.col("short_form").alias("term_id"), "label", "ontology")
-    curated = texts.withColumn("low", F.lower("text")).join(v.curated.select(F.lower("text").alias("low"), "term_id", "datasource").distinct(), "low").join(named, "term_id")
-    curated = curated.withColumn("kind", F.lit("CURATED_WHOLE")).withColumn("confidence", F.lit(1.0)).withColumn("channel", F.lit(6))
-    return lexical.select(*_COLUMNS).unionByName(curated.select(*_COLUMNS))
-
-
-def _searched(texts: DataFrame, v: Vocabulary) -> DataFrame:
-    """Containment and fuzzy search, for texts that tagging did not settle."""
-    names = v.terms.select("iri", F.posexplode(F.concat(F.array("label"), "synonyms")).alias("ord", "name")).filter("name is not null")
-    inside = channels.containment_candidates(texts, names).select("text", "iri", F.when(F.lower("name") == F.lower("text"), "SEARCH_LABEL").otherwise("SEARCH_CONTAINED").alias("kind"), "score")
-    fuzzy = channels.similar_names(texts, names).select("text", "iri", F.lit("SEARCH_FUZZY").alias("kind"), F.col("jaccard").alias("score")).join(inside, ["text", "iri"], "left_anti")
-    scored = inside.withColumn("confidence", ev.tier_confidence(ev.tier_of(F.col("kind")), F.col("score"))).unionByName(fuzzy.withColumn("confidence", F.col("score") * ev.FUZZY_WEIGHT))
-    named = v.terms.select("iri", F.col("short_form").alias("term_id"), "label", "ontology")
-    return scored.join(named, "iri").withColumn("datasource", F.col("ontology")).withColumn("channel", F.lit(1)).select(*_COLUMNS)
-
-
-def _live(e: DataFrame, v: Vocabulary) -> DataFrame:
-    """Obsolete terms exchanged for the live end of their chain, or dropped."""
+def _named(v: Vocabulary) -> DataFrame:
+    return v.terms.select("iri", F.col("short_form").alias("term_id"), "label", "ontology")
+
+
+def tagged(texts: DataFrame, v: Vocabulary) -> DataFrame:
+    """What the dictionaries find in each text: curated strings, labels and synonyms, and whole labels and synonyms of its spelling variants."""
+    entries = cut_lineage(channels.dictionary(v.terms))
+    curated = channels.tag_evidence(channels.tag_values(texts, channels.curated_dictionary(v.curated, v.terms))).withColumn("channel", F.lit(CURATED))
+    tags = cut_lineage(channels.tag_evidence(channels.tag_values(texts, entries)).withColumn("channel", F.lit(TAGS)))
+    each = texts.select("text", F.posexplode(var.variants(F.col("text"))).alias("ord", "variant"))
+    hit = each.join(small_side(entries), F.lower("variant") == F.col("surface")).withColumn("coverage", F.lit(1.0))
+    # Of the variants that hit a term the first counts, and none if the text itself hits it.
+    first = hit.groupBy("text", "iri").agg(F.min(F.struct("ord", "string_type", "label", "ontology", "short_form", "source", "variant", "coverage")).alias("b")).select("text", "iri", "b.*")
+    hit = channels.tag_evidence(first.join(tags.select("text", "iri"), ["text", "iri"], "left_anti"), ev.VARIANT_DISCOUNT).withColumn("channel", F.lit(VARIANTS))
+    rows = curated.withColumn("input", F.col("text")).unionByName(tags.withColumn("input", F.col("text")), True).unionByName(hit.withColumnRenamed("variant", "input"), True)
+    args = (F.col("kind"), F.col("input"), F.col("label"), F.col("iri"), F.col("coverage"))
+    chain = F.when(F.col("channel") == CURATED, F.array(ev.curated_step(F.col("source"), *args))).otherwise(F.array(ev.lexical_step(F.col("ontology"), *args)))
+    return rows.withColumn("chain", chain).withColumn("term_id", F.col("short_form")).withColumn("datasource", F.col("source")).select(*_COLUMNS)
+
+
+def settled(tags: DataFrame, f: Filter = Filter(), excluded: list[str] = []) -> DataFrame:  # noqa: B006
+    """The texts that a definitive hit settles, so that nothing need be searched: with targets one whose source (for curated hits the
+    database) is a target, and of its own namespace if only such terms count. Hits that the caller excluded settle nothing."""
+    fit = ev.is_definitive(ev.tier_of(F.col("kind")))
+    if f.targets:
+        fit &= F.coalesce(F.lower("datasource").isin(f.low_targets), F.lit(False))
+        if f.defining_only:
+            fit &= ids.in_namespaces(F.when(ids.blank(F.col("term_id")), F.col("iri")).otherwise(F.col("term_id")), f.low_targets)
+    return rules.exclude_terms(tags, excluded).filter(fit).select("text").distinct()
+
+
+def searched(texts: DataFrame, v: Vocabulary, f: Filter = Filter()) -> DataFrame:
+    """What searching by words and spelling finds for each text."""
+    found = search.lexical(texts, v.terms, f).join(v.terms.select("iri", "label"), "iri")
+    chain = F.array(ev.lexical_step(F.col("ontology"), F.col("kind"), F.col("text"), F.when(F.col("kind") == "OLS_LEXICAL_CONTAINED", F.col("matched")).otherwise(F.col("label")), F.col("iri"), F.col("confidence")))
+    return found.withColumn("datasource", F.col("ontology")).withColumn("channel", F.lit(WORDS)).withColumn("chain", chain).select(*_COLUMNS)
+
+
+def vector_evidence(hits: DataFrame, v: Vocabulary, channel: int) -> DataFrame:
+    """Evidence of vector hits (text, iri, score)."""
+    rows = hits.join(_named(v), "iri").withColumn("kind", F.lit("OLS_EMBEDDING")).withColumn("confidence", ev.tier_confidence(F.lit("EMBEDDING"), F.col("score")))
+    chain = F.array(ev.vector_step(F.col("ontology"), "OLS_EMBEDDING", v.model, F.col("text"), F.col("label"), F.col("iri"), F.col("score")))
+    return rows.withColumn("datasource", F.col("ontology")).withColumn("channel", F.lit(channel)).withColumn("chain", chain).select(*_COLUMNS)
+
+
+def near_evidence(seeds: DataFrame, v: Vocabulary, f: Filter) -> DataFrame:
+    """Rows for target terms near the seeds' terms, of texts none of whose seeds comes from a target's source."""
+    going = seeds.join(search.expansion_open(seeds.withColumnRenamed("text", "prop_id"), f.low_targets, F.col("datasource")).withColumnRenamed("prop_id", "text"), "text", "left_semi")
+    going = going.filter((F.col("confidence") > 0.7) & (F.col("kind") != "OLS_EMBEDDING"))
+    near = search.similar_terms(going, v.term_vectors)
+    far = channels.expand_similar(going.withColumnRenamed("text", "prop_id"), near).select(F.col("prop_id").alias("text"), "seq", "other", "similarity", F.col("confidence").alias("_c"))
+    to = _named(v).filter(F.lower("ontology").isin(f.low_targets)).select(F.col("iri").alias("other"), F.col("term_id").alias("_id"), F.col("label").alias("_label"), F.col("ontology").alias("_onto"))
+    e = going.join(far, ["text", "seq"]).join(to, "other")
+    more = ev.vector_step(F.col("_onto"), "OLS_LLM_SIMILAR", v.model, F.col("iri"), F.col("_label"), F.col("other"), F.col("similarity"), F.col("_c"))
+    return e.select("text", F.concat(F.lit(f"{NEAR:02d}|"), "seq", F.lit("|"), "other").alias("seq"), F.col("other").alias("iri"), F.col("_id").alias("term_id"), F.col("_label").alias("label"), F.col("_onto").alias("ontology"), "kind", F.col("_c").alias("confidence"), F.col("_onto").alias("datasource"), ev.appended(F.col("chain"), more).alias("chain"))
+
+
+def xref_evidence(seeds: DataFrame, v: Vocabulary, f: Filter) -> DataFrame:
+    """Rows for what cross-references of the seeds' terms lead to in a target, of texts none of whose seeds has a target's namespace. A target that is no known
+    term keeps its id; the text stands for its label and the id's prefix for its source."""
+    going = seeds.join(search.expansion_open(seeds.withColumnRenamed("text", "prop_id"), f.low_targets, ids.prefix_of(F.col("iri"))).withColumnRenamed("prop_id", "text"), "text", "left_semi")
+    aims = v.xrefs.filter(ids.prefix_of(F.col("target_id")).isin(f.low_targets))
+    far = channels.expand_xrefs(going.withColumnRenamed("text", "prop_id"), aims).select(F.col("prop_id").alias("text"), "seq", "target_iri", F.col("distance").alias("_d"), F.col("confidence").alias("_c"))
+    e = going.join(far, ["text", "seq"]).join(aims.select(F.col("source_iri").alias("iri"), "target_iri", "target_id", "target_label", F.col("distance").alias("_d")), ["iri", "target_iri", "_d"])
+    to = _named(v).select(F.col("iri").alias("target_iri"), F.col("term_id").alias("_id"), F.col("label").alias("_label"), F.col("ontology").alias("_onto"))
+    e = e.join(to, "target_iri", "left")
+    more = ev.xref_step(ids.compact(F.col("term_id")), F.col("label"), F.col("target_id"), F.coalesce("_label", "target_label"), F.col("_d"))
+    source = F.coalesce("_onto", ids.prefix_of(F.col("target_id")))
+    return e.select("text", F.concat(F.lit(f"{XREFS:02d}|"), "seq", F.lit("|"), "target_iri", F.lit("|"), F.col("_d").cast("string")).alias("seq"), F.col("target_iri").alias("iri"), F.coalesce("_id", "target_id").alias("term_id"), F.when(F.col("_id").isNull(), F.col("text")).otherwise(F.col("_label")).alias("label"), F.col("_onto").alias("ontology"), "kind", F.col("_c").alias("confidence"), source.alias("datasource"), ev.appended(F.col("chain"), more).alias("chain"))
+
+
+def placed(rows: DataFrame) -> DataFrame:
+    """Rows with a place (seq) that follows channel, confidence and term, so that no result depends on the order of execution."""
+    return rows.withColumn("seq", F.format_string("%02d|%012.9f|%s", F.col("channel"), 2 - F.col("confidence"), "iri")).drop("channel")
+
+
+def live(e: DataFrame, v: Vocabulary) -> DataFrame:
+    """Obsolete terms exchanged for the live end of their chain, each step of it noted, or dropped. Rows of unknown terms stay."""
     dead = v.terms.filter(obsolete.is_obsolete(F.col("obsolete"), F.col("label"))).select("iri", F.lit(True).alias("dead"))
-    to = obsolete.resolve_chains(v.terms).select(F.col("origin").alias("iri"), F.col("iri").alias("to"))
-    named = v.terms.select(F.col("iri").alias("to"), F.col("short_form").alias("_id"), F.col("label").alias("_label"), F.col("ontology").alias("_onto"))
-    e = e.join(dead, "iri", "left").join(to, "iri", "left").join(named, "to", "left").filter("dead is null or to is not null")
+    to = obsolete.resolve_chains(v.terms).select(F.col("origin").alias("iri"), F.col("iri").alias("to"), "trail")
+    named = _named(v).select(F.col("iri").alias("to"), F.col("term_id").alias("_id"), F.col("label").alias("_label"), F.col("ontology").alias("_onto"))
+    ends = materialised(dead.join(to, "iri", "left").join(named, "to", "left"))
+    e = e.join(ends, "iri", "left").filter("dead is null or to is not null")
+    hop = lambda i: ev.replacement_step(F.col("trail")[i]["ontology"], F.col("trail")[i]["iri"], F.col("trail")[i]["label"], F.col("trail")[i + 1]["iri"], F.col("trail")[i + 1]["label"])
+    steps = F.transform(F.sequence(F.lit(0), F.size("trail") - 2), hop)
     moved = lambda a, b: F.when(F.col("to").isNotNull(), F.col(a)).otherwise(F.col(b)).alias(b)
-    return e.select("text", moved("to", "iri"), moved("_id", "term_id"), moved("_label", "label"), moved("_onto", "ontology"), "kind", "confidence", "datasource", "channel")
+    chain = F.when(F.col("to").isNotNull(), F.concat("chain", steps)).otherwise(F.col("chain"))
+    return e.select("text", "seq", moved("to", "iri"), moved("_id", "term_id"), moved("_label", "label"), moved("_onto", "ontology"), "kind", "confidence", "datasource", chain.alias("chain"))
 
 
-def _evidence(props: DataFrame, rows: DataFrame) -> DataFrame:
-    """Rows per property with a place that follows channel, confidence and term, so that no result depends on the order of execution."""
-    place = F.format_string("%02d|%012.9f|%s", F.col("channel"), 2 - F.col("confidence"), "iri")
-    return props.join(rows.withColumn("seq", place), "text").select("prop_id", "seq", "property_type", "term_id", "iri", "label", "ontology", "confidence", "kind", "datasource")
+def evidence_of(texts: DataFrame, v: Vocabulary, f: Filter = Filter(), excluded: list[str] = [], return_all: bool = False, deep: bool | None = None) -> DataFrame:  # noqa: B006
+    """All evidence for each text: text, seq, iri, term_id, label, ontology, kind, confidence, datasource, chain.
 
+    Tag all texts. Texts that a definitive hit settles are not searched, unless all results are wanted. Search the others by words and
+    vectors. Where that settles nothing for given targets, or ``deep`` says so, search vectors deeply and expand over cross-references
+    and near terms. Exchange obsolete terms.
+    """
+    texts = cut_lineage(texts.select("text").distinct())
+    tags = cut_lineage(placed(tagged(texts, v)))
+    rest = texts if return_all else cut_lineage(texts.join(settled(tags, f, excluded), "text", "left_anti"))
+    found = searched(rest, v, f)
+    vectors = v.text_vectors is not None
+    if vectors:
+        hits = cut_lineage(search.by_vectors(rest, v.text_vectors, v.term_vectors, f, search.DEEP if deep else search.SHALLOW))
+        found = found.unionByName(vector_evidence(hits, v, VECTORS))
+    shallow = cut_lineage(placed(found))
+    everything = shallow.unionByName(tags)
+    if deep or (deep is None and f.targets):
+        judged = live(everything, v).withColumnRenamed("text", "prop_id")
+        more = rest if deep else cut_lineage(rest.join(rules.settled_properties(judged, f, excluded).withColumnRenamed("prop_id", "text"), "text", "left_anti"))
+        seeds = shallow.join(more, "text", "left_semi")
+        if vectors and not deep:  # deep if asked for from the start
+            further = search.unseen(search.by_vectors(more, v.text_vectors, v.term_vectors, f, search.DEEP), hits)
+            further = cut_lineage(placed(vector_evidence(further, v, DEEP_VECTORS)))
+            seeds, everything = seeds.unionByName(further), everything.unionByName(further)
+        if f.targets:
+            everything = everything.unionByName(xref_evidence(seeds, v, f))
+            if vectors:
+                everything = everything.unionByName(near_evidence(seeds, v, f))
+    return live(everything, v)
 
-def map_properties(props: DataFrame, v: Vocabulary, f: Filter = Filter(), excluded: list[str] = [], return_all: bool = False, deep: bool | None = None, priors: list = []) -> DataFrame:  # noqa: B006
-    """Ranked results (place from 1) for distinct properties (prop_id, property_type, text).
 
-    Tag all texts; texts with a definitive match from a target are settled, the others are searched; expand over cross-references where
-    the evidence settles nothing and targets are given, or where ``deep`` says so; exchange obsolete terms; reduce; rank.
-    """
-    texts = cut_lineage(props.select("text").distinct())
-    tags = cut_lineage(_tagged(texts, v))
-    definitive = ev.is_definitive(ev.tier_of(F.col("kind")))
-    if f.targets:  # by the name of the source, which for curated matches is their database
-        definitive &= F.lower("datasource").isin(f.low_targets)
-    settled = tags.filter(definitive).select("text").distinct()
-    found = tags.unionByName(_searched(texts.join(settled, "text", "left_anti"), v))
-    shallow = cut_lineage(_evidence(props, _live(found, v)))
-    more = rules.needs_deep(shallow, f, deep, excluded)
-    seeds = shallow.join(more, "prop_id", "left_semi")
-    named = v.terms.select(F.col("iri").alias("target_iri"), F.col("short_form").alias("_id"), F.col("label").alias("_label"), F.col("ontology").alias("_onto"))
-    far = channels.expand_xrefs(seeds, v.xrefs).withColumnRenamed("confidence", "_c").select("prop_id", "seq", "target_iri", "_c")
-    deep_rows = seeds.join(far, ["prop_id", "seq"]).join(named, "target_iri").select("prop_id", F.concat(F.lit("03|"), "seq").alias("seq"), "property_type", F.col("_id").alias("term_id"), F.col("target_iri").alias("iri"), F.col("_label").alias("label"), F.col("_onto").alias("ontology"), F.col("_c").alias("confidence"), "kind", F.col("_onto").alias("datasource"))
-    reduced = (rules.reduce_light if return_all else rules.reduce_full)(shallow.unionByName(deep_rows), f, excluded, priors)
+def map_properties(props: DataFrame, v: Vocabulary, f: Filter = Filter(), excluded: list[str] = [], return_all: bool = False, deep: bool | None = None, priors: list = []) -> DataFrame:  # noqa: B006
+    """Ranked results (place from 1) for distinct properties (prop_id, property_type, text): their texts' evidence, reduced and ranked."""
+    rows = props.join(evidence_of(props, v, f, excluded, return_all, deep), "text")
+    reduced = (rules.reduce_light if return_all else rules.reduce_full)(rows, f, excluded, priors)
     w = Window.partitionBy("prop_id").orderBy(*rules.ranking())
     return reduced.withColumn("place", F.row_number().over(w))
 
 
 def annotate_text(docs: DataFrame, id_col: str, text: str, v: Vocabulary, f: Filter = Filter()) -> tuple[DataFrame, DataFrame]:
-    """(segments, results): the merged spans of each document, and the results of its distinct segment texts as untyped properties."""
+    """(segments, results): the merged spans of each document with their text and the property (prop_id) they ask for, and the results of these properties.
+
+    Of a document's segments that differ in case alone the first one's spelling is the property; it has no type and is its own id.
+    """
     entries = channels.dictionary(v.terms)
     spans = segments.merge_rows(segments.segment_rows(docs, id_col, text), channels.tag_text(docs, id_col, text, entries), id_col)
     parts = cut_lineage(spans.join(docs.select(id_col, F.col(text).alias("_t")), id_col).select(id_col, "start", "end", F.expr("substring(_t, int(start) + 1, int(end - start))").alias("text")))
-    props = parts.select("text").distinct().select(F.xxhash64("text").alias("prop_id"), F.lit(None).cast("string").alias("property_type"), "text")
+    first = segments.unique_texts(parts, id_col).select(id_col, F.col("text").alias("prop_id"), F.lower("text").alias("_low"))
+    parts = cut_lineage(parts.withColumn("_low", F.lower("text")).join(first, [id_col, "_low"]).drop("_low"))
+    props = parts.select("prop_id").distinct().select("prop_id", F.lit(None).cast("string").alias("property_type"), F.col("prop_id").alias("text"))
     return parts, map_properties(props, v, f)
 
 

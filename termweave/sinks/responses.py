@@ -6,21 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termweave.functions import evidence as ev
+from termweave.operators.rules import chain_of
 
+# The columns of the legacy report, its study, and the mark of a property without candidates.
 REPORT_COLUMNS = ("PROPERTY TYPE", "PROPERTY VALUE", "ONTOLOGY TERM LABEL(S)", "CONFIDENCE", "ONTOLOGY TERM(S)", "ONTOLOGY(S)", "SOURCE(S)", "STUDY")
 NO_STUDY = "[UNKNOWN EXPERIMENTS]"
 NOT_MAPPED = "Did not map"
 
 
-def provenance(e: DataFrame) -> Column:
-    """The chain of steps of an evidence row: here its one match."""
-    return F.array(ev.step(F.col("method"), F.col("kind"), F.col("datasource"), None, None, F.col("text"), F.col("label"), F.col("confidence"), F.col("iri")))
-
-
 def candidate(e: DataFrame) -> Column:
     return F.struct(
         F.col("term_id").alias("termId"), "label", "ontology", F.col("iri").alias("uri"), "confidence", "datasource", F.coalesce("preferred", F.lit(False)).alias("preferred"),
-        provenance(e).alias("mappingProvenance"), F.coalesce("supporting", F.array().cast("array<string>")).alias("supportingProvenance"),
+        chain_of(e).alias("mappingProvenance"), F.coalesce("supporting", F.array().cast(f"array<array<{ev.STEP}>>")).alias("supportingProvenance"),
     )
 
 

@@ -31,13 +31,21 @@ def join_on_skewed_key(rows: DataFrame, keyed: DataFrame, key: str, count: str,
     return marked.drop("_hot_key", "_salts").join(copies, [key, "_salt"]).drop("_salt")
 
 
-def dense_positions(df: DataFrame, group: str, order: str, out: str = "pos", slices: int = 64) -> DataFrame:
+def slices_for(largest: int, rows: int = HOT_ROWS) -> int:
+    """Slices that leave about so many rows of the largest group in each."""
+    return max(1, -(-largest // rows))
+
+
+def dense_positions(df: DataFrame, group: str, order: str, largest: int | None = None, out: str = "pos") -> DataFrame:
     """Number the rows of every group 0, 1, 2, ... without ever putting a whole group into one task.
 
-    The rows of a group are cut into ``slices`` by a hash of ``order``, numbered inside each slice, and shifted by the sizes of
-    the slices before. ``order`` must be unique inside a group. The numbering is deterministic.
+    ``largest`` is the number of rows of the largest group, counted if not given; the rows of a group are cut by a hash of ``order`` into as many slices as keep
+    a slice of that group near HOT_ROWS rows, numbered inside each slice, and shifted by the sizes of the slices before. ``order`` must be
+    unique inside a group. The numbering is deterministic.
     """
-    cut = df.withColumn("_slice", F.pmod(F.xxhash64(order), F.lit(slices)).cast("int"))
+    if largest is None:
+        largest = df.groupBy(group).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    cut = df.withColumn("_slice", F.pmod(F.xxhash64(order), F.lit(slices_for(largest))).cast("int"))
     sizes = cut.groupBy(group, "_slice").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(F.col(group).alias("_g"), F.col("_slice").alias("_s"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))

@@ -2,6 +2,7 @@ import gzip
 
 from pyspark.sql import functions as F
 
+from termweave.functions.evidence import STEP
 from termweave.operators import channels, obsolete, registry, segments, upkeep
 from termweave.sources.files import Dialect, is_running_text, pasted, read_curated, read_delimited, sniff, split_line
 from termweave.sinks import responses
@@ -53,16 +54,16 @@ def test_spans(spark):
 
 
 def test_tagging(spark):
-    entries = spark.createDataFrame([("lung node", "i1", "s", "Lung node", "o", "label"), ("node", "i2", "s", "Node", "o", "synonym"), ("ab", "i3", "s", "ab", "o", "label")], "surface string, iri string, short_form string, label string, ontology string, string_type string")
+    entries = spark.createDataFrame([("lung node", "i1", "s", "Lung node", "o", "label", "o"), ("node", "i2", "s", "Node", "o", "synonym", "o"), ("ab", "i3", "s", "ab", "o", "label", "o")], "surface string, iri string, short_form string, label string, ontology string, string_type string, source string")
     texts = spark.createDataFrame([("Lung node",), ("left lung node",), ("ab",), ("",), ("é node",)], "text string")
     got = {(r.text, r.iri): (r.kind, round(r.confidence, 4)) for r in channels.tag_evidence(channels.tag_values(texts, entries)).collect()}
-    assert got == {("Lung node", "i1"): ("TAG_LABEL", 1.0), ("left lung node", "i1"): ("TAG_PART", round(0.89 * 9 / 14, 4)), ("ab", "i3"): ("TAG_LABEL", 1.0)}
+    assert got == {("Lung node", "i1"): ("OLS_TEXT_TAGGER", 1.0), ("left lung node", "i1"): ("OLS_TEXT_TAGGER_SUBSTRING", round(0.89 * 9 / 14, 4)), ("ab", "i3"): ("OLS_TEXT_TAGGER", 1.0)}
     docs = spark.createDataFrame([(1, "The lung-node, lung node."), (2, None)], "d long, text string")
     assert [(r.start, r.end, r.iri) for r in channels.tag_text(docs, "d", "text", entries).collect()] == [(15, 24, "i1")]
 
 
 def test_expansions(spark):
-    seeds = spark.createDataFrame([("p", 1, "a", 0.9, "TAG_LABEL"), ("p", 2, "a", 0.7, "TAG_LABEL"), ("p", 3, "a", 0.9, "VECTOR"), ("p", 4, "a", 0.9, None)], "prop_id string, seq long, iri string, confidence double, kind string")
+    seeds = spark.createDataFrame([("p", 1, "a", 0.9, "OLS_TEXT_TAGGER"), ("p", 2, "a", 0.7, "OLS_TEXT_TAGGER"), ("p", 3, "a", 0.9, "OLS_EMBEDDING"), ("p", 4, "a", 0.9, None)], "prop_id string, seq long, iri string, confidence double, kind string")
     sim = spark.createDataFrame([("a", "b", 0.8), ("a", "a", 1.0), ("a", "c", 0.69)], "iri string, other string, similarity double")
     assert sorted((r.seq, r.other, round(r.confidence, 6)) for r in channels.expand_similar(seeds, sim).collect()) == [(1, "b", 0.504), (4, "b", 0.504)]
     x = spark.createDataFrame([("a", "t", 1), ("a", "u", 2), ("a", "w", 3)], "source_iri string, target_iri string, distance int")
@@ -98,8 +99,8 @@ def test_files(spark, tmp_path):
 
 def test_responses(spark):
     props = spark.createDataFrame([(1, "cell", "x"), (2, None, "y")], "prop_id long, property_type string, text string")
-    res = spark.createDataFrame([(1, 2, "T_2", "i2", "l2", "o", 0.6, "TAG_PART", "lexical", "o"), (1, 1, "T_1", "i1", "l1", "o", 0.95, "TAG_LABEL", "lexical", "o")], "prop_id long, place int, term_id string, iri string, label string, ontology string, confidence double, kind string, method string, datasource string")
-    res = res.withColumn("preferred", F.lit(None).cast("boolean")).withColumn("supporting", F.lit(None).cast("array<string>"))
+    res = spark.createDataFrame([(1, 2, "T_2", "i2", "l2", "o", 0.6, "OLS_TEXT_TAGGER_SUBSTRING", "lexical", "o"), (1, 1, "T_1", "i1", "l1", "o", 0.95, "OLS_TEXT_TAGGER", "lexical", "o")], "prop_id long, place int, term_id string, iri string, label string, ontology string, confidence double, kind string, method string, datasource string")
+    res = res.withColumn("preferred", F.lit(None).cast("boolean")).withColumn("supporting", F.lit(None).cast(f"array<array<{STEP}>>"))
     diag = spark.createDataFrame([(2, 2, "late", None), (2, 1, "first", None), (2, 3, None, "truncated: time"), (2, 4, None, "truncated: time")], "prop_id long, seq int, error string, warning string")
     m = {r.prop_id: r for r in responses.mappings(props, res, diag).collect()}
     assert [c.termId for c in m[1].candidates] == ["T_1", "T_2"] and m[2].candidates == []

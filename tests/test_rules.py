@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ def ev(spark, *items, prop="p"):
     for i, it in enumerate(items):
         t, c, *rest = it
         kind, onto, ds, ty = (*rest, *[None] * (4 - len(rest)))
-        rows.append((prop, i, t, f"http://x/{t}" if t else None, t, onto or (t or "x_").split("_")[0].lower(), float(c), kind or "TAG_PART", ds, ty))
+        rows.append((prop, i, t, f"http://x/{t}" if t else None, t, onto or (t or "x_").split("_")[0].lower(), float(c), kind or "OLS_TEXT_TAGGER_SUBSTRING", ds, ty))
     return spark.createDataFrame(rows, SCHEMA)
 
 
@@ -54,11 +56,11 @@ def test_full_tie_keeps_the_earlier_row(spark):
 @pytest.mark.parametrize(
     "items, want, support",
     [
-        ([("A_1", 0.8, "TAG_PART"), ("A_1", 0.6, "VECTOR")], 0.82, 1),
-        ([("A_1", 0.88, "TAG_PART"), ("A_1", 0.6, "VECTOR")], 0.89, 1),
-        ([("A_1", 0.8, "TAG_PART"), ("A_1", 0.49, "VECTOR")], 0.8, 0),
-        ([("A_1", 0.8, "TAG_PART"), ("A_1", 0.7, "TAG_PART")], 0.8, 0),
-        ([("A_1", 0.8, "TAG_PART"), ("A_1", 0.7, "VECTOR"), ("A_1", 0.6, "SEARCH_FUZZY")], 0.84, 2),
+        ([("A_1", 0.8, "OLS_TEXT_TAGGER_SUBSTRING"), ("A_1", 0.6, "OLS_EMBEDDING")], 0.82, 1),
+        ([("A_1", 0.88, "OLS_TEXT_TAGGER_SUBSTRING"), ("A_1", 0.6, "OLS_EMBEDDING")], 0.89, 1),
+        ([("A_1", 0.8, "OLS_TEXT_TAGGER_SUBSTRING"), ("A_1", 0.49, "OLS_EMBEDDING")], 0.8, 0),
+        ([("A_1", 0.8, "OLS_TEXT_TAGGER_SUBSTRING"), ("A_1", 0.7, "OLS_TEXT_TAGGER_SUBSTRING")], 0.8, 0),
+        ([("A_1", 0.8, "OLS_TEXT_TAGGER_SUBSTRING"), ("A_1", 0.7, "OLS_EMBEDDING"), ("A_1", 0.6, "OLS_LEXICAL_FUZZY")], 0.84, 2),
     ],
 )
 def test_corroboration(spark, items, want, support):
@@ -69,21 +71,38 @@ def test_corroboration(spark, items, want, support):
 PRIORS = [("organism", ["taxa"], ["part"]), ("cell type", ["cl"], [])]
 
 
-@pytest.mark.parametrize("kind, ptype, want", [("TAG_LABEL", "organism", [1.0, 0.9]), ("VECTOR", "organism", [0.95, 1.0]), ("TAG_LABEL", "organism part", [0.95, 1.0]), ("TAG_LABEL", None, [0.95, 1.0]), ("TAG_LABEL", "organismPart", [0.95, 1.0])])
+@pytest.mark.parametrize("kind, ptype, want", [("OLS_TEXT_TAGGER", "organism", [1.0, 0.9]), ("OLS_EMBEDDING", "organism", [0.95, 1.0]), ("OLS_TEXT_TAGGER", "organism part", [0.95, 1.0]), ("OLS_TEXT_TAGGER", None, [0.95, 1.0]), ("OLS_TEXT_TAGGER", "organismPart", [0.95, 1.0])])
 def test_type_prior(spark, kind, ptype, want):
-    e = ev(spark, ("TAXA_1", 0.95, kind, None, None, ptype), ("FOODON_1", 1.0, "TAG_LABEL", None, None, ptype))
+    e = ev(spark, ("TAXA_1", 0.95, kind, None, None, ptype), ("FOODON_1", 1.0, "OLS_TEXT_TAGGER", None, None, ptype))
     got = [r.confidence for r in rules.type_prior(rules.classify(e), PRIORS).orderBy("seq").collect()]
     assert got == pytest.approx(want)
 
 
-def test_embedding_rules_equal_the_two_rules(spark):
-    e = rules.classify(ev(spark, ("A_1", 1.0, "CURATED_WHOLE"), ("B_1", 0.8, "VECTOR")).unionByName(ev(spark, ("A_1", 0.8, "VECTOR"), ("B_1", 0.796, "VECTOR"), ("C_1", 0.7, "VECTOR"), prop="q")))
-    both = rules.best_embedding(rules.suppress_embedding(e))
-    assert sorted(map(tuple, both.select("prop_id", "seq").collect())) == sorted(map(tuple, rules.embedding_rules(e).select("prop_id", "seq").collect())) == [("p", 0), ("q", 0), ("q", 1)]
+def mixed(spark, n=600):
+    r = random.Random(3)
+    rows = []
+    for i in range(n):
+        t, kind = f"{r.choice(['EFO', 'MONDO', 'HP'])}_{r.randint(1, 9)}", r.choice(["CURATED_EXACT", *["OLS_EMBEDDING"] * 6, *["OLS_LEXICAL_FUZZY"] * 6])
+        rows.append((r.choice(["hot", "hot", *"abcdefghij"]), i, t, f"http://x/{t}", t, r.choice(["efo", "hp", "mondo"]), r.choice([0.0, 0.3, 0.55, 0.69, 0.7, 0.846, 0.85, 0.95, 1.0]), kind, None, None))
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+@pytest.mark.parametrize("f", [Filter(), HARD, Filter(targets=("mondo", "efo"))])
+def test_joint_rules_equal_the_single_ones(spark, f, monkeypatch):
+    e = rules.classify(mixed(spark))
+    single = rules.prune_weak(rules.best_embedding(rules.suppress_embedding(e)), f)
+    want = sorted(r.seq for r in single.collect())
+    assert sorted(r.seq for r in rules.prune(e, f).collect()) == want
+    monkeypatch.setattr(rules, "HOT_ROWS", 30)
+    hot = rules.hot_properties(e)
+    assert {r.prop_id for r in hot.collect()} >= {"hot"}
+    assert sorted(r.seq for r in rules.prune(e, f, hot).collect()) == want
+    one = rules.one_per_term(single)
+    assert sorted(r.seq for r in rules.target_rules(one, f).collect()) == sorted(r.seq for r in rules.higher_priority_on_tie(rules.best_per_target(one, f), f).collect())
 
 
 def test_filters(spark):
-    e = ev(spark, ("EFO_1", 0.9, "CURATED_WHOLE", "efo", "Atlas"), ("EFO_2", 0.9, "CURATED_PART", "efo", None), ("HP_1", 0.9, "TAG_LABEL", "efo", "efo"), ("77", 0.9, "TAG_LABEL", "mondo", "x"))
+    e = ev(spark, ("EFO_1", 0.9, "CURATED_EXACT", "efo", "Atlas"), ("EFO_2", 0.9, "CURATED_SUBSTRING", "efo", None), ("HP_1", 0.9, "OLS_TEXT_TAGGER", "efo", "efo"), ("77", 0.9, "OLS_TEXT_TAGGER", "mondo", "x"))
     assert ids_of(rules.required_sources(e, ("atlas",))) == ["EFO_1", "HP_1", "77"]
     assert ids_of(rules.defining_only(e, Filter(targets=("efo", "mondo"), defining_only=True))) == ["EFO_1", "EFO_2", "77"]
     assert ids_of(rules.defining_only(e, Filter(defining_only=True))) == ["EFO_1", "EFO_2", "HP_1", "77"]
@@ -112,7 +131,7 @@ def test_empty_evidence(spark):
 
 
 def test_hot_property_is_whole(spark):
-    e = spark.range(3000).select(F.lit("hot").alias("prop_id"), F.col("id").alias("seq"), F.concat(F.lit("EFO_"), F.col("id") % 1000).alias("term_id"), F.lit(None).cast("string").alias("iri"), F.lit("l").alias("label"), F.lit("efo").alias("ontology"), F.lit(0.9).alias("confidence"), F.lit("TAG_PART").alias("kind"), F.lit(None).cast("string").alias("datasource"), F.lit(None).cast("string").alias("property_type"))
+    e = spark.range(3000).select(F.lit("hot").alias("prop_id"), F.col("id").alias("seq"), F.concat(F.lit("EFO_"), F.col("id") % 1000).alias("term_id"), F.lit(None).cast("string").alias("iri"), F.lit("l").alias("label"), F.lit("efo").alias("ontology"), F.lit(0.9).alias("confidence"), F.lit("OLS_TEXT_TAGGER_SUBSTRING").alias("kind"), F.lit(None).cast("string").alias("datasource"), F.lit(None).cast("string").alias("property_type"))
     assert rules.one_per_term(rules.classify(e)).count() == 1000
 
 

@@ -74,6 +74,6 @@ def test_tiers(spark):
     assert one(spark, ev.tier_of(F.lit(None).cast("string"), F.lit("lexical"), F.lit(1.0))) == "LABEL_FULL"
     assert one(spark, ev.tier_of(F.lit("other"), F.lit("curated"), F.lit(0.5))) == "PARTIAL"
     assert one(spark, ev.tier_of(F.lit("other"), F.lit("else"), F.lit(1.0))) == "NONE"
-    assert one(spark, ev.evidence_rank(F.lit("SEARCH_LABEL"), F.lit("LABEL_FULL"))) == 3
+    assert one(spark, ev.evidence_rank(F.lit("OLS_LEXICAL_FUZZY_LABEL"), F.lit("LABEL_FULL"))) == 3
     assert one(spark, ev.level(F.lit(0.1), F.lit("SYNONYM_FULL"))) == "HIGH"
     assert [one(spark, ev.xref_discount(F.lit(d))) for d in (0, 1, 2, 3)] == [0.75, 0.95, 0.85, 0.75]
