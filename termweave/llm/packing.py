@@ -118,7 +118,7 @@ def fill_containers(items: DataFrame, id_col: str, size: str, capacity: int = CA
         at = np.searchsorted(keys, (length << 44) + position, side="right") - 1
         return pa.array(first[at] + (position - start[at]) // per[at], pa.int64())
 
-    placed = dense_positions(pieces, "n", "_key")
+    placed = dense_positions(pieces, "n", "_key", max(counts.values(), default=0))
     return placed.select(container("n", "pos").alias("container_id"), id_col, "piece", "start", "n")
 
 
