@@ -18,6 +18,7 @@ QUERIES = {
     "p9_containers": packing.p9_containers,
     "p9_fill": packing.p9_fill,
     "p10_found": sentences.p10_found,
+    "p10_evidence": sentences.p10_evidence,
 }
 
 SQL = {

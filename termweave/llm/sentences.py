@@ -1,10 +1,11 @@
 """Problem 10: sentence units of documents in many languages and scripts.
 
 Document-centred disambiguation. Whether a word before a period is an abbreviation, and whether the word after it is a name, is read off the
-document's own unambiguous places (a period followed by a small letter, a digit or a comma; a capital in the middle of a sentence; the
-word without a period). Where the document is silent, counts over the whole corpus decide, and lists of common abbreviations
-start both. Scripts bring their own rules: terminators without spaces, spaces as terminators (Thai), and the quotation habits that tell
-whether a sentence goes on behind a closing quote. What stands in matched quotes or brackets never ends the sentence around it.
+document's own unambiguous places: a period followed by a small letter, a digit or a comma; the word in the middle of a sentence without a
+period; a capital in the middle of a sentence. Where the document is silent, counts over the whole corpus decide, which also tell abbreviations
+that never end a text from those that may. A short list of common abbreviations is the prior where both are silent. Scripts bring their own rules:
+terminators without spaces, spaces as terminators (Thai), and the quotation habits that tell whether a sentence goes on behind a closing
+quote. What stands in matched quotes or brackets never ends the sentence around it.
 """
 
 from __future__ import annotations
@@ -16,16 +17,14 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from termweave.session import cut_lineage, table
+from termweave.session import BROADCAST_ROWS, cut_lineage, is_small, table
 
-# Common abbreviations. A sentence does not end behind these, whatever follows.
-OPEN_ABBREVIATIONS = frozenset(
-    "mr mrs ms dr prof st sr sra dra no nos fig figs eq eqs tab abb nr vol pp cf vs e.g i.e incl resp approx ca viz deg subsp spp var "
-    "sp ref refs sec suppl gen al pers z.b d.h bzw vgl std sog u.a ggf inkl evtl núm pág aprox env c.-à-d p.ej fig ед т.е т.к см рис табл ок стр напр им डॉ पृ सं".split()
-)
+# Common abbreviations, the prior where document and corpus are silent. A sentence does not end behind these.
+OPEN_ABBREVIATIONS = frozenset("mr mrs ms dr prof st no nr fig figs eq tab vol pp cf vs e.g i.e al approx ca resp suppl deg z.b d.h bzw vgl sra núm pág т.е рис табл см г डॉ".split())
 # Abbreviations behind which a sentence may also end.
-FINAL_ABBREVIATIONS = frozenset("etc inc ltd co corp a.m p.m usw nov prep comm jr т.д т.п др".split())
+FINAL_ABBREVIATIONS = frozenset("etc inc ltd co a.m p.m usw prep jr т.д т.п др".split())
 # Months, which follow a day written with a period.
 MONTHS = frozenset("januar jänner februar märz april mai juni juli august september oktober november dezember".split())
 # Verbs that report what was quoted before them.
@@ -35,8 +34,8 @@ PARTICLES = "とはがをのにでもっ"
 # What a letter I, V or X counts behind.
 COUNTED = frozenset("stage type grade phase class stadium tipo stade".split())
 
-#: A corpus word is an abbreviation only if it makes up this share of all words before periods; bounds the table to its inverse.
-CORPUS_SHARE = 1e-5
+#: An abbreviation ends no sentence if, with 95 % confidence, less than this share of its uses ends a text, paragraph, quotation or bracket.
+CLOSES = 0.05
 _TERMS = ".!?…。！？।॥؟｡"
 _WIDE = "。！？｡।॥؟"
 _PAIRS = {"“": "”", "„": "“", "«": "»", "(": ")", "[": "]", "（": "）", "「": "」", "『": "』", "【": "】"}
@@ -50,7 +49,10 @@ _QUOTABLE = re.compile(r"[“”„«»()\[\]（）「」『』【】\"]")
 _BLANK_LINE = re.compile(r"\n[^\S\n]*\n")
 _WORD_BEFORE = re.compile(r"[^\s“”„«»()\[\]（）「」\"¿¡,;:]*\Z")
 _WORD = re.compile(r"[^\W\d_]+(?:[-’'.][^\W\d_]+)*")
-_DOTTED = re.compile(r"([^\W\d_](?:[^\W\d_]|[.-](?=[^\W\d_]))*)\.(\s*)([^\s.]?)([^\s]?)")
+# A letter with the marks that some scripts write around it.
+_LETTER = r"(?:[^\W\d_]|[\u0300-\u036F\u0591-\u05BD\u0610-\u061A\u064B-\u065F\u0670\u0900-\u0903\u093A-\u094F\u0951-\u0957\u0962\u0963])"
+_BEFORE = re.compile(rf"[^\W\d_](?:{_LETTER}|[.-](?={_LETTER}))*\Z")
+_END = re.compile(r"\s*\Z|[^\S\n]*\n\s*\n")
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -67,40 +69,118 @@ def _starts_small(text: str, at: int) -> bool:
     return not (m and any(c.isupper() for c in m.group()))
 
 
-def evidence(text: str) -> tuple[Counter, Counter, Counter, Counter]:
-    """Of one text: words before a period that goes on unambiguously; words before any period; words without a period; words as written, if capitalised only in the middle of a sentence."""
-    goes_on, dotted, plain, names = Counter(), Counter(), Counter(), Counter()
-    for m in _DOTTED.finditer(text):
-        word = m.group(1).lower()
-        dotted[word] += 1
-        nxt = m.start(3)
-        if m.group(2) and (_starts_small(text, nxt) or m.group(3).isdigit()) or m.group(3) in (",", ";", ":"):
-            goes_on[word] += 1
-    for m in _WORD.finditer(text):
-        a, b = m.span()
-        if text[b : b + 1] != ".":
-            plain[m.group().lower()] += 1
-        if m.group().islower() or a >= 2 and text[a - 1] == " " and (text[a - 2].islower() or text[a - 2] == ","):
-            names[m.group()] += 1
-    return goes_on, dotted, plain, names
+def dotted_words(text: str) -> dict[str, list[int]]:
+    """Of each word (in small letters) before a period that no letter or digit follows: how often the sentence goes on for certain, how often it bears a period, how often
+    it ends a text, paragraph, quotation or bracket, how often a digit follows (which in one document tells nothing, as sentences may begin with one)."""
+    seen: dict[str, list[int]] = {}
+    i = text.find(".")
+    while i >= 0:
+        c = text[i + 1 : i + 2]
+        if not c.isalnum() and c != ".":
+            last = text[max(0, i - 40) : i].split(" ")[-1]
+            m = _BEFORE.search(last) if last else None
+            if m:
+                word = m.group().lower()
+                counts = seen.get(word)
+                if counts is None:
+                    counts = seen[word] = [0, 0, 0, 0]
+                counts[1] += 1
+                if c == " " and text[i + 2 : i + 3].isalnum():  # the usual case
+                    if text[i + 2].isdigit():
+                        counts[3] += 1
+                    elif _starts_small(text, i + 2):
+                        counts[0] += 1
+                elif c and c in ",;:":
+                    counts[0] += 1
+                elif c in _CLOSERS or _END.match(text, i + 1):
+                    counts[2] += 1
+                elif c.isspace():
+                    n = i + 2
+                    while text[n].isspace():
+                        n += 1
+                    if text[n].isdigit():
+                        counts[3] += 1
+                    elif text[n] in "»”)]）」』":
+                        counts[2] += 1
+                    elif _starts_small(text, n):
+                        counts[0] += 1
+        i = text.find(".", i + 1)
+    return seen
+
+
+def occurrences(text: str, word: str) -> Iterator[int]:
+    """Places where the word stands as written, letters on neither side."""
+    at, n = text.find(word), len(word)
+    while at >= 0:
+        if not (at and text[at - 1].isalpha()) and not text[at + n : at + n + 1].isalpha():
+            yield at
+        at = text.find(word, at + 1)
+
+
+def inside(text: str, at: int) -> bool:
+    """Whether what stands here is in the middle of a sentence for certain: behind a small letter or a comma and a space."""
+    return at >= 2 and text[at - 1] == " " and (text[at - 2].islower() or text[at - 2] == ",")
+
+
+class Document:
+    """What a document's unambiguous places say of a word. Each word is looked up when it is first asked for."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.dotted = dotted_words(text)
+        self._plain: dict[str, bool] = {}
+        self._names: dict[str, bool] = {}
+
+    def goes_on(self, low: str) -> bool:
+        counts = self.dotted.get(low)
+        return bool(counts and counts[0] and counts[0] * 3 >= counts[1])
+
+    def plain(self, word: str) -> bool:
+        """Whether the word, as it is written, stands without a period in the middle of a sentence."""
+        known = self._plain.get(word)
+        if known is None:
+            n = len(word)
+            known = self._plain[word] = any(self.text[at + n : at + n + 1] != "." and inside(self.text, at) for at in occurrences(self.text, word))
+        return known
+
+    def name(self, word: str) -> bool:
+        """Whether the word is written large in the middle of a sentence and never small."""
+        if not word[:1].isupper():
+            return False
+        known = self._names.get(word)
+        if known is None:
+            known = any(inside(self.text, at) for at in occurrences(self.text, word)) and next(occurrences(self.text, word.lower()), None) is None
+            self._names[word] = known
+        return known
+
+
+def least_share(hits: int, of: int) -> float:
+    """The lower end of the 95 % interval of a share."""
+    z = 1.96
+    return (hits / of + z * z / (2 * of) - z * ((hits / of * (1 - hits / of) + z * z / (4 * of)) / of) ** 0.5) / (1 + z * z / of)
+
 
+def corpus_class(goes_on: int, dotted: int, closes: int, plain: int) -> str:
+    """What corpus counts say of a word: "open" for an abbreviation that ends no sentence, "final" for one that may, "" for neither.
 
-def is_abbreviation(goes_on: int, dotted: int, plain: int) -> bool:
-    """A word that mostly bears a period, and whose period does not end sentences in a good part of its uses."""
-    return goes_on >= 2 and goes_on * 3 >= dotted and dotted >= plain
+    An abbreviation mostly bears a period, and the sentence goes on behind a good part of its uses.
+    """
+    if goes_on < 2 or goes_on * 3 < dotted or dotted < plain:
+        return ""
+    return "open" if least_share(dotted - closes, dotted) >= 1 - CLOSES else "final"
 
 
 class Splitter:
-    """Sentence spans of a text; ``corpus`` has the abbreviations that the corpus shows."""
+    """Sentence spans of a text; ``corpus`` has the abbreviations that the corpus shows with their class. Without ``evidence`` only the prior is asked."""
 
-    def __init__(self, corpus: frozenset[str] = frozenset()):
-        self.corpus = corpus
+    def __init__(self, corpus: dict[str, str] | None = None, evidence: bool = True):
+        self.corpus, self.evidence = corpus or {}, evidence
 
     def spans(self, text: str | None) -> list[tuple[int, int]]:
         """(start, end) in code points of each sentence, without outer white space. Null, empty and blank texts give none."""
         if not text or text.isspace():
             return []
-        self.text, self._evidence = text, None
+        self.text, self._document = text, None
         quoted = self._quoted()
         out, start, at, q = [], 0, 0, 0
         for m in _EVENT.finditer(text):
@@ -200,8 +280,7 @@ class Splitter:
         if before[-1] in ",;" or (len(text[text.rfind("\n", 0, i) + 1 : i]) > 60 and before[-1].isalpha() and before[-1].lower() != before[-1].upper() and not _MARKER.match(before)):
             return False
         if before[-1] == "." and before[-2:-1] != ".":
-            word = _WORD_BEFORE.search(before[:-1]).group().lower()
-            return word not in OPEN_ABBREVIATIONS
+            return self.abbreviation(_WORD_BEFORE.search(before[:-1]).group()) != "open"
         return True
 
     def _after_quote(self, start: int, a: int, b: int) -> int:
@@ -276,9 +355,9 @@ class Splitter:
             if not (letters and len(word) > 1 and c not in "./"):
                 return False
             if c in "“„«¿¡「（(":
-                return low not in OPEN_ABBREVIATIONS
+                return self.abbreviation(word) != "open"
             follows = _LETTERS.match(text, nxt)
-            return bool(c.isupper() and follows and not low in OPEN_ABBREVIATIONS and (len(follows.group()) == 1 and text[follows.end() : follows.end() + 1].isspace() or follows.group()[1:2].islower() or text[nxt:].split(None, 1)[0].isupper() and word.isupper() is False and len(word) > 2))
+            return bool(c.isupper() and follows and self.abbreviation(word) != "open" and (len(follows.group()) == 1 and text[follows.end() : follows.end() + 1].isspace() or follows.group()[1:2].islower() or text[nxt:].split(None, 1)[0].isupper() and word.isupper() is False and len(word) > 2))
         if "\n" in gap and _MARKER.match(text, text.rfind("\n", 0, nxt) + 1):
             return True
         first = nxt
@@ -286,7 +365,7 @@ class Splitter:
             first += 1
         f = text[first : first + 1]
         if _COUNTER.match(text, nxt):  # an enumeration in running text: (a) ...; (b) ...
-            return low not in OPEN_ABBREVIATIONS
+            return self.abbreviation(word) != "open"
         if _starts_small(text, first) or c in "-–—":
             return False
         if not word:
@@ -301,99 +380,148 @@ class Splitter:
             return True
         before = text[max(start, i - len(word) - 24) : i - len(word)].rstrip()
         previous = before.rpartition(" ")[2].lower()
-        joined = previous + low if previous.endswith(".") else ""
-        if joined.strip(".") in OPEN_ABBREVIATIONS:
-            return False
-        if joined.strip(".") in FINAL_ABBREVIATIONS or low in FINAL_ABBREVIATIONS:
-            return not f.isdigit() or low in ("etc", "usw")
-        if low in OPEN_ABBREVIATIONS:
+        joined = (previous + low).strip(".") if previous.endswith(".") else ""
+        if joined in OPEN_ABBREVIATIONS:
             return False
-        if len(word) == 1 and word.isalpha():
+        kind = "final" if joined in FINAL_ABBREVIATIONS else self.abbreviation(word)
+        if len(word) == 1 and word.isalpha() and not joined in FINAL_ABBREVIATIONS and not (kind == "open" and low in OPEN_ABBREVIATIONS):
             if word in "IVX" and previous in COUNTED:
                 return True
-            if word == "C" and previous == "deg.":
-                return True
+            number = before.rpartition(" ")[0].rpartition(" ")[2]
+            if word.isupper() and previous.endswith(".") and number.isdigit() and self.abbreviation(previous[:-1]):
+                return True  # a unit such as "4 deg. C"
             return word.islower() and previous.strip(".,").replace(",", "").replace(".", "").isdigit() and not f.isdigit()  # a unit behind its number
+        if kind == "open":
+            return False
+        if kind == "final":
+            if low in FINAL_ABBREVIATIONS or joined in FINAL_ABBREVIATIONS:
+                return not f.isdigit() or low in ("etc", "usw")
+            return not f.isdigit() and not self._is_name(nextword)
         if "." in word and _LETTERS.fullmatch(word.replace(".", "")) and all(len(p) == 1 for p in word.split(".")):
             return not f.isdigit() and not self._is_name(nextword)
-        if len(low) <= 6 and (self._document_says(low) or low in self.corpus and not self._known_plain(low)):
-            return bool(f.isupper()) and not self._is_name(nextword)
         return True
 
-    def _seen(self):
-        if self._evidence is None:
-            self._evidence = evidence(self.text)
-        return self._evidence
-
-    def _document_says(self, low: str) -> bool:
-        goes_on, dotted, plain, _ = self._seen()
-        return is_abbreviation(goes_on[low], dotted[low], plain[low])
+    def document(self) -> Document:
+        if self._document is None:
+            self._document = Document(self.text)
+        return self._document
 
-    def _known_plain(self, low: str) -> bool:
-        _, dotted, plain, _ = self._seen()
-        return plain[low] > dotted[low]
+    def abbreviation(self, word: str) -> str:
+        """"open" for an abbreviation that ends no sentence, "final" for one that may, "" for no abbreviation: by the document, else the corpus, else the prior."""
+        low = word.lower()
+        prior = "open" if low in OPEN_ABBREVIATIONS else "final" if low in FINAL_ABBREVIATIONS else ""
+        if not self.evidence:
+            return prior
+        general = self.corpus.get(low, "")
+        sure = self.document().goes_on(low)
+        if not (sure or general or prior):
+            return ""
+        if not sure and len(word) > 1 and self.document().plain(word):
+            return ""
+        return prior or general or "final"
 
     def _is_name(self, word: str) -> bool:
-        """A word written large in the middle of a sentence somewhere in the document and never small."""
-        names = self._seen()[3]
-        return word[:1].isupper() and names[word] > 0 and not names[word.lower()]
+        return self.evidence and self.document().name(word)
 
 
-def corpus_abbreviations(docs: DataFrame, text: str) -> frozenset[str]:
-    """Short words that the whole corpus shows to be abbreviations. Counted over all texts, combined before the shuffle.
+def corpus_counts(docs: DataFrame, text: str) -> DataFrame:
+    """word, goes_on, dotted, closes, plain over all texts, counted per batch and combined before the shuffle."""
 
-    Only words with at least CORPUS_SHARE of all dotted words count, so that at most 1 / CORPUS_SHARE words reach the driver.
-    """
+    def rows(dotted: dict[str, list[int]], words: Counter) -> pa.RecordBatch:
+        names = list(dotted.keys() | words.keys())
+        none = [0, 0, 0, 0]
+        columns = [[x + dotted.get(w, none)[3] for w, x in zip(names, column)] if i == 0 else column for i, column in enumerate([dotted.get(w, none)[i] for w in names] for i in range(3))]
+        plain = [max(0, words[w] - n) for w, n in zip(names, columns[1])]
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array(c, pa.int64()) for c in (*columns, plain))], names=["word", "goes_on", "dotted", "closes", "plain"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, list[int]] = {}
+        dotted: dict[str, list[int]] = {}
+        words: Counter = Counter()
         for b in batches:
             for t in b.column(0).to_pylist():
-                goes_on, dotted, plain, _ = evidence(t)
-                for k in dotted:
-                    if len(k) <= 6:
-                        s = seen.setdefault(k, [0, 0, 0])
-                        s[0] += goes_on[k]
-                        s[1] += dotted[k]
-                for k, v in plain.items():
-                    if len(k) <= 6:
-                        seen.setdefault(k, [0, 0, 0])[2] += v
-            if len(seen) > 50_000:
-                yield _counts(seen)
-                seen = {}
-        yield _counts(seen)
-
-    def _counts(seen: dict[str, list[int]]) -> pa.RecordBatch:
-        cols = list(zip(*seen.values())) or [(), (), ()]
-        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), *(pa.array(c, pa.int64()) for c in cols)], names=["word", "goes_on", "dotted", "plain"])
-
-    parts = docs.filter(F.col(text).isNotNull()).select(text).mapInArrow(count, "word string, goes_on long, dotted long, plain long")
-    words = cut_lineage(parts.groupBy("word").agg(*(F.sum(c).alias(c) for c in ("goes_on", "dotted", "plain"))).filter("goes_on >= 2 and goes_on * 3 >= dotted and dotted >= plain"))
-    total = words.agg(F.sum("dotted")).first()[0] or 0
-    return frozenset(r[0] for r in words.filter(F.col("dotted") >= max(3, int(total * CORPUS_SHARE))).select("word").collect())
-
-
-def sentence_spans(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """id, start_pos, end_pos of each sentence: code point offsets from 0, end exclusive, without outer white space.
+                words.update(_WORD.findall(t.lower()))
+                for w, n in dotted_words(t).items():
+                    s = dotted.get(w)
+                    dotted[w] = n if s is None else [x + y for x, y in zip(s, n)]
+            if len(words) > 200_000:
+                yield rows(dotted, words)
+                dotted, words = {}, Counter()
+        yield rows(dotted, words)
 
-    The spans cover all of the text but white space. Null, empty and blank texts give no rows; whole texts are processed, however long;
-    repeated rows each count. Extra columns are ignored.
-    """
-    splitter = Splitter(corpus_abbreviations(docs, text))
+    names = ("goes_on", "dotted", "closes", "plain")
+    parts = docs.filter(F.col(text).isNotNull()).select(text).mapInArrow(count, "word string, goes_on long, dotted long, closes long, plain long")
+    return parts.groupBy("word").agg(*(F.sum(c).alias(c) for c in names)).filter("dotted > 0")
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+@F.arrow_udf(T.StringType())
+def _class_of(goes_on: pa.Array, dotted: pa.Array, closes: pa.Array, plain: pa.Array) -> pa.Array:
+    return pa.array([corpus_class(*x) for x in zip(*(c.to_pylist() for c in (goes_on, dotted, closes, plain)))], pa.string())
+
+
+def corpus_abbreviations(docs: DataFrame, text: str) -> DataFrame:
+    """word, class of every abbreviation that the corpus shows."""
+    return cut_lineage(corpus_counts(docs, text).withColumn("class", _class_of("goes_on", "dotted", "closes", "plain")).filter("class <> ''").select("word", "class"))
+
+
+def _word_rows(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """id, word of every word before a period."""
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            who, start, end = [], [], []
+            who, word = [], []
             for i, t in enumerate(b.column(1).to_pylist()):
-                for s, e in splitter.spans(t):
+                for w in dotted_words(t):
                     who.append(i)
-                    start.append(s)
-                    end.append(e)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(who, pa.int64())), pa.array(start, pa.int64()), pa.array(end, pa.int64())], names=[id_col, "start_pos", "end_pos"])
+                    word.append(w)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(who, pa.int64())), pa.array(word, pa.string())], names=["_id", "word"])
+
+    return docs.filter(F.col(text).isNotNull()).select(F.col(id_col).alias("_id"), text).mapInArrow(words, f"_id {dict(docs.dtypes)[id_col]}, word string")
 
+
+def sentence_spans(docs: DataFrame, id_col: str, text: str, evidence: bool = True, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """id, start_pos, end_pos of each sentence: code point offsets from 0, end exclusive, without outer white space.
+
+    The spans cover all of the text but white space. Null, empty and blank texts give no rows; whole texts are processed, however long;
+    repeated rows each count. Extra columns are ignored. The corpus's abbreviations go to the workers if they are few; else each document
+    is joined to those it has, with the same result. Without ``evidence`` neither document nor corpus is asked, only the prior.
+    """
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(id_col, text).mapInArrow(split, f"`{id_col}` {kind}, start_pos long, end_pos long")
+    out = f"`{id_col}` {kind}, start_pos long, end_pos long"
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text"))
+
+    def split(known: dict[str, str] | None):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            splitter = Splitter(known, evidence)
+            for b in batches:
+                who, start, end = [], [], []
+                own = b.column(2).to_pylist() if known is None and evidence else None
+                for i, t in enumerate(b.column(1).to_pylist()):
+                    if own is not None:
+                        splitter.corpus = dict(own[i] or ())
+                    for s, e in splitter.spans(t):
+                        who.append(i)
+                        start.append(s)
+                        end.append(e)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(who, pa.int64())), pa.array(start, pa.int64()), pa.array(end, pa.int64())], names=[id_col, "start_pos", "end_pos"])
+
+        return run
+
+    if not evidence:
+        return rows.mapInArrow(split({}), out)
+    table_ = corpus_abbreviations(docs, text)
+    if is_small(table_, broadcast_rows):
+        return rows.mapInArrow(split({r[0]: r[1] for r in table_.collect()}), out)
+    own = _word_rows(docs, id_col, text).join(table_, "word").groupBy("_id").agg(F.map_from_entries(F.collect_set(F.struct("word", "class"))).alias("_own"))
+    joined = rows.join(own.withColumnRenamed("_id", "_of"), F.col("_id").eqNullSafe(F.col("_of")), "left")
+    return joined.select("_id", "_text", "_own").mapInArrow(split(None), out)
 
 
 def p10_found(spark, sf_dir: str) -> DataFrame:
     return sentence_spans(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p10_evidence(spark, sf_dir: str) -> DataFrame:
+    """doc_id, start_pos, end_pos of the sentences that come out otherwise without the evidence of document and corpus."""
+    docs = table(spark, sf_dir, "documents")
+    with_it, without = (sentence_spans(docs, "doc_id", "text", e) for e in (True, False))
+    return with_it.join(without, ["doc_id", "start_pos", "end_pos"], "left_anti")

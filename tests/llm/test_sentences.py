@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from termweave.llm.sentences import Splitter, sentence_spans
+from termweave.llm.sentences import Splitter, corpus_class, sentence_spans
 
 CASES = [
     ["It grew slowly, No. 3, at 4 deg. C, when Dr. Bo left.", "We saw p < .05 here.", "54 plates came."],
@@ -40,6 +40,35 @@ def test_document_evidence():
     assert len(Splitter().spans(text)) == 3
 
 
+def test_document_overrules_the_prior():
+    text = "On a tab we wrote it. He closed the tab. Then he left."
+    assert [text[a:b] for a, b in Splitter().spans(text)] == ["On a tab we wrote it.", "He closed the tab.", "Then he left."]
+    assert len(Splitter(evidence=False).spans(text)) == 2
+
+
+def test_corpus_class():
+    assert corpus_class(40, 100, 0, 0) == "open" and corpus_class(4, 10, 0, 1) == "final"
+    assert corpus_class(60, 100, 20, 5) == "final" and corpus_class(0, 200, 30, 0) == ""
+    assert corpus_class(0, 3, 0, 0) == corpus_class(1, 50, 0, 900) == corpus_class(0, 0, 0, 9) == ""
+
+
+def test_planted_abbreviation_is_learnt_whatever_its_length(spark):
+    """Words of the corpus that mostly go on are no ends elsewhere; off, the evidence changes just these documents. Few or many, by broadcast or by join, the result is one."""
+    learn = [(i, f"The longabbrev. of number {i} fell, and the zzq. was {i} high. It ended.") for i in range(120)]
+    asked = [(500, "They saw longabbrev. Marn and zzq. Ovid there. It ended."), (501, "They saw the plate. Marn left."), (502, None)]
+    df = spark.createDataFrame(learn + asked, "d long, text string")
+    spans = lambda **k: sorted((r.d, r.start_pos, r.end_pos) for r in sentence_spans(df, "d", "text", **k).collect())
+    on, off = spans(), spans(evidence=False)
+    assert len([r for r in on if r[0] == 500]) == 2 and len([r for r in on if r[0] == 501]) == 2
+    assert {r[0] for r in set(on) ^ set(off)} == {500}
+    assert spans(broadcast_rows=0) == on
+
+
+def test_names_go_on(spark):
+    text = "We met Marn, and Marn obs. it. The obs. was late. The obs. Marn made fell. The obs. Then it ended."
+    assert len(Splitter().spans(text)) == 5
+
+
 @pytest.mark.parametrize("text", ["", "   \n", None])
 def test_nothing(text):
     assert Splitter().spans(text) == []
