@@ -1,18 +1,21 @@
 """Problem 5: free-typed values mapped to the closest entry of a reference list.
 
-Values and names are brought to a comparable string. Candidates are all pairs within the slips that the name allows, by two joins.
-Longer names: a prefix-filter join on character trigrams, numbered where they repeat. Trigrams are ordered by their rarity among the
-names; as slips and a rotation break at most BROKEN of them, two strings must share one among their first, rarest ones, so only these
-prefixes are joined, under a positional filter. Names of up to SHORT letters, where nothing may be left to share: a join on what
-remains of each rotation and of the value when as many letters as slips are allowed are deleted. An exact check of edits decides; of several
-names the one with fewest slips is kept, then the most similar by Jaccard.
+Values and names are brought to comparable strings, a name to one for every rotation of its words. A prefix-filter set-similarity join on
+padded character trigrams finds the pairs within the slips that the name allows: trigrams are ordered by their rarity among the names; as one
+slip breaks at most BREAKS of them, two strings must share one among the first BREAKS * slips + 1, the rarest, of each, at nearly the same
+place and with nearly the same length. So only these prefixes are joined, under a length and two positional filters. An exact count of slips
+decides; of several names the one with fewest slips is kept, then the most similar by the exact Jaccard similarity of the trigrams.
+
+What is particular to a field (Greek letters, spellings, remarks, empty words) is a table that the caller gives (Spelling), and so are the
+slips by length: with none only equal strings are mapped.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Callable
+from dataclasses import dataclass, field
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -20,48 +23,90 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from termweave.llm.lookalike import look
-from termweave.session import cut_lineage, small_side, table
+from termweave.session import cut_lineage, materialised, small_side, table
 
-#: Least Jaccard similarity of the trigram sets in a join that names none; map_values names 0, as slips alone decide there.
-LEAST = 0.3
-# Letters written as words.
-GREEK = {"α": "alpha", "β": "beta", "γ": "gamma", "δ": "delta", "ε": "epsilon", "κ": "kappa", "λ": "lambda", "μ": "mu", "ω": "omega"}
-# Roman numerals that count types and stages.
-ROMAN = {"i": "1", "ii": "2", "iii": "3", "iv": "4", "v": "5", "vi": "6", "vii": "7", "viii": "8", "ix": "9", "x": "10"}
-# Spellings and short forms and what they stand for.
-SPELLINGS = {"tumour": "tumor", "tumours": "tumors", "ad": "autosomal dominant", "ar": "autosomal recessive", "oedema": "edema", "anaemia": "anemia", "haemorrhage": "hemorrhage", "hcl": "hydrochloride"}
-# Remarks around a value that are no part of the name.
-REMARKS = re.compile(r"\bsee form\b|\bpt with\b|\bprob\b|\bconfirmed\b|\bnos\b|\betc\b")
-# Words that carry no distinction between names.
-EMPTY = frozenset("the of with in from and human".split())
+#: Most trigrams that a slip (inserted, missing, wrong or swapped letters) can break on either side.
+BREAKS = 4
+#: Slips that a name may suffer from so many letters on: none below the first, and never more than the last.
+SLIPS = ((6, 1), (10, 2))
 
 _PARENTHESISED = re.compile(r"\(\s*(\d{1,2}|i{1,3}|iv|vi{0,3}|ix|x)\s*\)")
 _TYPE = re.compile(r"(type|stage|\bt)[\s-]*(\d{1,2}|i{1,3}|iv|vi{0,3}|ix|x)\b")
-_LETTER = re.compile(r"(?:(?<=\s)|\A)([ab])-(?=[a-z]{3})")
-_AEMIA = re.compile(r"aemia\b")
 _WORDS = re.compile(r"[^\W_]+")
+# Roman numerals that count types and stages.
+ROMAN = {"i": "1", "ii": "2", "iii": "3", "iv": "4", "v": "5", "vi": "6", "vii": "7", "viii": "8", "ix": "9", "x": "10"}
 
 
-def comparable(text: str | None) -> str:
-    """Words in one look, case and spelling, without accents and remarks; '' for null and for text without words."""
-    if not text:
-        return ""
-    s = unicodedata.normalize("NFD", look(text).lower())
-    s = "".join(c for c in s if not unicodedata.combining(c))
-    s = _LETTER.sub(lambda m: GREEK["α" if m.group(1) == "a" else "β"] + " ", s)
-    for letter, name in GREEK.items():
-        if letter in s:
-            s = s.replace(letter, f" {name} ")
-    s = _PARENTHESISED.sub(r" type \1 ", s)
-    s = " ".join(_WORDS.findall(s))
-    s = _TYPE.sub(lambda m: ("type" if m.group(1) == "t" else m.group(1)) + " " + ROMAN.get(m.group(2), m.group(2)), s)
-    s = _AEMIA.sub("emia", REMARKS.sub(" ", s))
-    return " ".join(w for t in s.split() for w in SPELLINGS.get(t, t).split())
-
-
-def content(words: str) -> str:
-    """The distinguishing words, run together."""
-    return "".join(w for w in words.split() if w not in EMPTY)
+@dataclass(frozen=True)
+class Spelling:
+    """How a field writes its names: letters written as words; letters that stand for these before a hyphen; endings, spellings and short forms with
+    what they stand for; remarks around a value; words that carry no distinction; what may be put before and behind a name without a blank."""
+
+    letters: dict[str, str] = field(default_factory=dict)
+    hyphened: dict[str, str] = field(default_factory=dict)
+    endings: dict[str, str] = field(default_factory=dict)
+    spellings: dict[str, str] = field(default_factory=dict)
+    remarks: tuple[str, ...] = ()
+    empty: tuple[str, ...] = ()
+    before: tuple[str, ...] = ()
+    behind: tuple[str, ...] = ()
+
+    @cached_property
+    def _patterns(self) -> tuple[re.Pattern, ...]:
+        none = "(?!)"
+        hyphened = "|".join(map(re.escape, self.hyphened)) or none
+        return (
+            re.compile(rf"(?:(?<=\s)|\A)({hyphened})-(?=[a-z]{{3}})"),
+            re.compile(r"\b(?:" + ("|".join(map(re.escape, self.remarks)) or none) + r")\b"),
+            re.compile("(" + ("|".join(map(re.escape, self.endings)) or none) + r")\b"),
+        )
+
+    def comparable(self, text: str | None) -> str:
+        """Words in one look, case and spelling, without accents and remarks; '' for null and for text without words."""
+        if not text:
+            return ""
+        hyphened, remarks, endings = self._patterns
+        s = unicodedata.normalize("NFD", look(text).lower())
+        s = "".join(c for c in s if not unicodedata.combining(c))
+        s = hyphened.sub(lambda m: self.hyphened[m.group(1)] + " ", s)
+        for letter, name in self.letters.items():
+            if letter in s:
+                s = s.replace(letter, f" {name} ")
+        s = _PARENTHESISED.sub(r" type \1 ", s)
+        s = " ".join(_WORDS.findall(s))
+        s = _TYPE.sub(lambda m: ("type" if m.group(1) == "t" else m.group(1)) + " " + ROMAN.get(m.group(2), m.group(2)), s)
+        s = endings.sub(lambda m: self.endings[m.group(1)], remarks.sub(" ", s))
+        return " ".join(w for t in s.split() for w in self.spellings.get(t, t).split())
+
+    def content(self, words: str) -> str:
+        """The distinguishing words, run together."""
+        return "".join(w for w in words.split() if w not in self.empty)
+
+    def typed_forms(self, value: str) -> set[tuple[int, str]]:
+        """The strings without blanks that stand for a comparable value, of all its words (0) and of the distinguishing ones (1), also without what may be put before or behind."""
+        out = set()
+        for kind, typed in enumerate((value.replace(" ", ""), self.content(value))):
+            cut = [typed, *(typed.removeprefix(x) for x in self.before), *(typed.removesuffix(x) for x in self.behind)]
+            out |= {(kind, form) for form in cut if form}
+        return out
+
+    def turned_forms(self, name: str) -> set[tuple[int, str]]:
+        """The rotations of a comparable name's words, run together, of all its words (0) and of the distinguishing ones (1)."""
+        every = (name.split(), [w for w in name.split() if w not in self.empty])
+        return {(kind, "".join(words[i:] + words[:i])) for kind, words in enumerate(every) for i in range(len(words))}
+
+
+# How disease, anatomy and chemistry write their names.
+DOMAIN = Spelling(
+    letters={"α": "alpha", "β": "beta", "γ": "gamma", "δ": "delta", "ε": "epsilon", "κ": "kappa", "λ": "lambda", "μ": "mu", "ω": "omega"},
+    hyphened={"a": "alpha", "b": "beta"},
+    endings={"aemia": "emia"},
+    spellings={"tumour": "tumor", "tumours": "tumors", "ad": "autosomal dominant", "ar": "autosomal recessive", "oedema": "edema", "anaemia": "anemia", "haemorrhage": "hemorrhage", "hcl": "hydrochloride"},
+    remarks=("see form", "pt with", "prob", "confirmed", "nos", "etc"),
+    empty=("the", "of", "with", "in", "from", "and", "human"),
+    before=("the",),
+    behind=("etc", "nos"),
+)
 
 
 def slips(a: str, b: str, most: int) -> int:
@@ -88,111 +133,28 @@ def slips(a: str, b: str, most: int) -> int:
     return min(old[-1], most + 1)
 
 
-def allowed(name: str) -> int:
-    """Slips that a string of this length may hold and still be that name."""
-    return 0 if len(name) < 6 else 1 if len(name) < 10 else 2
+def allowed(letters: int, by_length: tuple[tuple[int, int], ...] = SLIPS) -> int:
+    """Slips that a string of so many letters may hold and still be that name."""
+    return max((n for least, n in by_length if letters >= least), default=0)
 
 
-def _digits(s: str) -> str:
+def digits(s: str) -> str:
     return "".join(sorted(c for c in s if c.isdigit()))
 
 
-def typed_forms(value: str) -> set[str]:
-    """The strings without blanks that stand for a comparable value: with and without its empty words, "the", "etc" and "nos"."""
-    return {form for typed in (value.replace(" ", ""), content(value)) for form in (typed, typed.removeprefix("the"), typed.removesuffix("etc"), typed.removesuffix("nos"))} - {""}
-
-
-def turned_forms(name: str) -> set[str]:
-    """The rotations of a comparable name's words, run together, with and without its empty words."""
-    every = (name.split(), [w for w in name.split() if w not in EMPTY])
-    return {"".join(words[i:] + words[:i]) for words in every for i in range(len(words))}
-
-
-def deletions(s: str, most: int) -> set[str]:
-    """What is left of a string after at most so many deletions; strings within that many slips have one in common."""
-    every = last = {s}
-    for _ in range(most):
-        last = {x[:i] + x[i + 1 :] for x in last for i in range(len(x))}
-        every = every | last
-    return every
-
-
-def distance(value: str, name: str) -> int | None:
+def distance(value: str, name: str, spelling: Spelling = DOMAIN, by_length: tuple[tuple[int, int], ...] = SLIPS) -> int | None:
     """Slips between comparable strings whatever the rotation of the name's words and the blanks; None if the value does not name it: too many slips or other digits."""
-    if _digits(value) != _digits(name):
+    if digits(value) != digits(name):
         return None
-    most = allowed(content(name))
-    best = most + 1
-    for typed, words in ((value.replace(" ", ""), name.split()), (content(value), [w for w in name.split() if w not in EMPTY])):
-        forms = {typed, typed.removeprefix("the"), typed.removesuffix("etc"), typed.removesuffix("nos")}
-        for i in range(len(words)):
-            turned = "".join(words[i:] + words[:i])
-            best = min(best, *(slips(form, turned, most) for form in forms))
-            if not best:
-                return 0
+    most = allowed(len(spelling.content(name)), by_length)
+    turned = spelling.turned_forms(name)
+    best = min((slips(form, r, most) for kind, form in spelling.typed_forms(value) for of, r in turned if of == kind), default=most + 1)
     return best if best <= most else None
 
 
-@F.arrow_udf(T.StringType())
-def _comparable(texts: pa.Array) -> pa.Array:
-    return pa.array([comparable(t) for t in texts.to_pylist()], pa.string())
-
-
-@F.arrow_udf(T.StringType())
-def _content(words: pa.Array) -> pa.Array:
-    return pa.array([content(w) for w in words.to_pylist()], pa.string())
-
-
-def value_keys(value: str) -> list[str]:
-    """What a value shares with every name of up to SHORT letters that it may stand for: the slips of the name and a string."""
-    keys = set()
-    for form in typed_forms(value):
-        for most in range(3):
-            if len(form) <= SHORT + most and allowed("x" * (len(form) + most)) >= most:
-                keys.update(f"{most}{x}" for x in deletions(form, most))
-    return list(keys)
-
-
-def name_keys(name: str) -> list[str]:
-    """The counterpart of value_keys."""
-    most = allowed(content(name))
-    return list({f"{most}{x}" for turned in turned_forms(name) if len(turned) <= SHORT for x in deletions(turned, most)})
-
-
-@F.arrow_udf(T.ArrayType(T.StringType()))
-def _value_keys(words: pa.Array) -> pa.Array:
-    return pa.array([value_keys(w) for w in words.to_pylist()], pa.list_(pa.string()))
-
-
-@F.arrow_udf(T.ArrayType(T.StringType()))
-def _name_keys(names: pa.Array) -> pa.Array:
-    return pa.array([name_keys(n) for n in names.to_pylist()], pa.list_(pa.string()))
-
-
-@F.arrow_udf(T.ArrayType(T.StringType()))
-def _typed_forms(words: pa.Array) -> pa.Array:
-    return pa.array([list(typed_forms(w)) for w in words.to_pylist()], pa.list_(pa.string()))
-
-
-def _numbered(s: str) -> list[str]:
-    seen: dict[str, int] = {}
-    out = []
-    for i in range(max(len(s) - 2, 1)):
-        gram = s[i : i + 3]
-        seen[gram] = n = seen.get(gram, 0) + 1
-        out.append(gram if n == 1 else f"{gram}{n}")
-    return out
-
-
-@F.arrow_udf(T.ArrayType(T.StringType()))
-def numbered_trigrams(texts: pa.Array) -> pa.Array:
-    """The character trigrams, a repeated one with its number, so that a set of them has one for every place."""
-    return pa.array([_numbered(s) for s in texts.to_pylist()], pa.list_(pa.string()))
-
-
 @F.arrow_udf(T.IntegerType())
-def _distance(values: pa.Array, names: pa.Array) -> pa.Array:
-    return pa.array([distance(v, n) for v, n in zip(values.to_pylist(), names.to_pylist())], pa.int32())
+def _slips(left: pa.Array, right: pa.Array, most: pa.Array) -> pa.Array:
+    return pa.array([slips(*x) for x in zip(left.to_pylist(), right.to_pylist(), most.to_pylist())], pa.int32())
 
 
 def trigrams(text: Column) -> Column:
@@ -209,54 +171,38 @@ def names_of(terms: DataFrame, key: str, label: str, synonyms: str) -> DataFrame
     return terms.select(F.col(key).alias("key"), F.explode(names).alias("name")).filter("name is not null")
 
 
-#: Trigrams that two slips (a swap breaks four each) and a rotation (two) can break.
-BROKEN = 10
-#: Names of so many letters have no more than BROKEN trigrams and share none for certain.
-SHORT = BROKEN + 2
+def slip_join(left: DataFrame, right: DataFrame, most: int) -> DataFrame:
+    """l, r, slips of every pair of distinct strings (left: l; right: r and s, at most ``most``, the slips it allows) that are within s slips.
 
+    Each string has a trigram for every place, padded at both ends, ordered by its number on the right and then by itself; those unknown there
+    come first. The right sends its first BREAKS * s + 1, the left as many as s may be for its length; of these one at least is shared and no more than s
+    places away, which takes a string of BREAKS * s - 1 letters or more. Repeated strings count once. An empty side gives no rows.
+    """
 
-def similarity_join(left: DataFrame, right: DataFrame, least: float = LEAST, broken: int = BROKEN, grams: Callable[[Column], Column] = trigrams) -> DataFrame:
-    """l, r, jaccard of every pair of distinct strings (columns l and r) whose trigram sets have at least this Jaccard similarity and miss at most
-    ``broken`` trigrams of either.
+    def placed(df: DataFrame, name: str, *more: str) -> DataFrame:
+        padded = F.concat(F.lit("^^"), name, F.lit("$$"))
+        grams = F.transform(F.sequence(F.lit(1), F.length(name) + 2), lambda i: F.struct(F.substring(padded, i, F.lit(3)).alias("gram"), i.alias("at")))
+        return df.select(name, *more, F.explode(grams).alias("g")).select(name, *more, "g.gram", "g.at")
 
-    Trigrams are ordered by their number of names on the right, then by themselves; those unknown there come first. A set of n
-    trigrams must share at least k = max(ceil(least * n), n - broken), so it sends its first n - k + 1. Pairs that the lengths or the places of a shared trigram rule out are dropped
-    before verification. Repeated strings count once. An empty side gives no rows. ``grams`` cuts a string into distinct parts.
-    """
-    right = right.select("r", grams(F.col("r")).alias("grams"))
-    left = left.select("l", grams(F.col("l")).alias("grams"))
-    rarity = small_side(right.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("df")))
-
-    def ordered(df: DataFrame, name: str) -> DataFrame:
-        known = df.select(name, F.explode("grams").alias("gram")).join(rarity, "gram", "left")
-        return known.groupBy(name).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram"))).alias("g")).select(name, F.col("g.gram").alias("grams"))
-
-    def prefix(df: DataFrame, name: str, place: str, size: str) -> DataFrame:
-        n = F.size("grams")
-        must = F.greatest(F.ceil(F.lit(least) * n - 1e-9).cast("int"), n - broken)
-        return df.select(name, n.alias(size), F.posexplode(F.slice("grams", F.lit(1), n - must + 1)).alias(place, "gram"))
-
-    left, right = cut_lineage(ordered(left, "l")), cut_lineage(ordered(right, "r"))
-    share = least / (1 + least)
-    pairs = (
-        prefix(left, "l", "i", "n")
-        .join(small_side(prefix(right, "r", "j", "m")), "gram")
-        .filter(F.col("m") >= F.lit(least) * F.col("n") - 1e-9)
-        .filter(F.col("n") >= F.lit(least) * F.col("m") - 1e-9)
-        .filter(F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) >= F.greatest(F.lit(share) * (F.col("n") + F.col("m")) - 1e-9, F.greatest("n", "m") - broken))
-        .select("l", "r")
-        .distinct()
-    )
-    both = pairs.join(left.withColumnRenamed("grams", "lg"), "l").join(small_side(right.withColumnRenamed("grams", "rg")), "r")
-    common = F.size(F.array_intersect("lg", "rg"))
-    return (
-        both.withColumn("common", common)
-        .withColumn("n", F.size("lg"))
-        .withColumn("m", F.size("rg"))
-        .withColumn("jaccard", F.col("common") / (F.col("n") + F.col("m") - F.col("common")))
-        .filter((F.col("jaccard") >= least - 1e-9) & (F.col("common") >= F.greatest("n", "m") - broken))
-        .select("l", "r", "jaccard")
-    )
+    right = cut_lineage(right.groupBy("r").agg(F.max("s").alias("s")))
+    each = placed(right, "r", "s")
+    rarity = materialised(each.groupBy("gram").agg(F.count(F.lit(1)).alias("df")))
+    longest = right.agg(F.coalesce(F.max(F.length("r")), F.lit(0))).first()[0]
+    left = left.select("l").distinct().filter(F.length("l") <= longest + most)
+
+    def prefix(df: DataFrame, name: str, many: Column, place: str, at: str, *more: str) -> DataFrame:
+        known = df.join(rarity, "gram", "left")
+        order = F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram", "at")))
+        return known.groupBy(name, *more).agg(F.slice(order, 1, many).alias("g")).select(name, *more, F.posexplode("g").alias(place, "x")).select(name, *more, place, "x.gram", F.col("x.at").alias(at))
+
+    asked = prefix(placed(left, "l"), "l", F.lit(BREAKS * most + 1), "i", "p")
+    known = prefix(each, "r", BREAKS * F.col("s") + 1, "j", "q", "s")
+    near = (F.abs(F.length("l") - F.length("r")) <= F.col("s")) & (F.abs(F.col("p") - F.col("q")) <= F.col("s")) & (F.col("i") <= BREAKS * F.col("s"))
+    pairs = asked.join(materialised(known), "gram").filter(near).select("l", "r", "s").distinct()
+    # A slip is at most two plain edits, which the built-in counts up to a threshold.
+    plain = F.levenshtein("l", "r", 2 * most)
+    pairs = pairs.filter((plain >= 0) & (plain <= 2 * F.col("s")))
+    return pairs.withColumn("slips", _slips("l", "r", "s")).filter(F.col("slips") <= F.col("s")).select("l", "r", "slips")
 
 
 def _jaccard(a: Column, b: Column) -> Column:
@@ -264,31 +210,49 @@ def _jaccard(a: Column, b: Column) -> Column:
     return common / (F.size(a) + F.size(b) - common)
 
 
-def candidates(values: DataFrame, names: DataFrame) -> DataFrame:
-    """words, full: every pair of distinct comparable values (words) and names (full) that distance() accepts, and others."""
-    values = cut_lineage(values.select("words", _typed_forms(F.col("words")).alias("forms"), _value_keys(F.col("words")).alias("keys")))
-    short = names.select("full", F.explode(_name_keys(F.col("full"))).alias("k"))
-    by_key = values.select("words", F.explode("keys").alias("k")).join(small_side(short), "k").select("words", "full")
-    forms = values.select("words", F.explode("forms").alias("l")).filter(F.length("l") > SHORT - 2)
-    strings = cut_lineage(names.select("full", F.explode(F.array_distinct(F.array(F.regexp_replace("full", " ", ""), _content(F.col("full"))))).alias("r")).filter(F.length("r") > SHORT))
-    near = similarity_join(forms.select("l").distinct(), strings.select("r").distinct(), 0.0, BROKEN, numbered_trigrams).filter(F.abs(F.length("l") - F.length("r")) <= 2).select("l", "r")
-    by_trigram = near.join(forms, "l").join(small_side(strings), "r").select("words", "full")
-    return by_key.unionByName(by_trigram).distinct()
-
-
-def map_values(values: DataFrame, value_id: str, value: str, terms: DataFrame, key: str, label: str, synonyms: str) -> DataFrame:
+def map_values(
+    values: DataFrame, value_id: str, value: str, terms: DataFrame, key: str, label: str, synonyms: str, spelling: Spelling = DOMAIN, by_length: tuple[tuple[int, int], ...] = SLIPS
+) -> DataFrame:
     """value_id, key, jaccard for every value: the term it names, or '' with null jaccard if it names none.
 
     Null and empty values name none. A name borne by several terms names none of them. Of several names within reach the one with
     fewest slips wins, then the highest Jaccard similarity, then the smallest key. Repeated rows each get their result.
     """
-    rows = cut_lineage(values.select(F.col(value_id).alias("_id"), _comparable(F.col(value)).alias("words")))
-    wanted = rows.select("words").filter("words <> ''").distinct().withColumn("l", _content(F.col("words"))).filter("l <> ''")
-    names = names_of(terms, key, label, synonyms).withColumn("full", _comparable(F.col("name"))).withColumn("r", _content(F.col("full"))).filter("r <> ''")
-    names = cut_lineage(names.groupBy("r").agg(F.min("full").alias("full"), F.min("key").alias("key"), F.countDistinct("key").alias("keys")).filter("keys = 1").drop("keys"))
-    wanted = cut_lineage(wanted)
-    judged = candidates(wanted.select("words"), names.select("full")).withColumn("slips", _distance(F.col("words"), F.col("full"))).filter("slips is not null")
-    judged = judged.join(wanted, "words").join(small_side(names), "full").withColumn("jaccard", _jaccard(trigrams(F.col("l")), trigrams(F.col("r"))))
+    most = max((n for _, n in by_length), default=0)
+    if any(least < BREAKS * n - 1 for least, n in by_length):
+        raise ValueError(f"{by_length}: a name that may suffer n slips must have at least {BREAKS} n - 1 letters")
+
+    @F.arrow_udf(T.StringType())
+    def comparable(texts: pa.Array) -> pa.Array:
+        return pa.array([spelling.comparable(t) for t in texts.to_pylist()], pa.string())
+
+    forms_type = "array<struct<kind:int,form:string>>"
+
+    def forms_of(rule, words: str) -> Column:
+        @F.arrow_udf(forms_type)
+        def forms(texts: pa.Array) -> pa.Array:
+            return pa.array([[{"kind": k, "form": f} for k, f in rule(t)] for t in texts.to_pylist()], pa.list_(pa.struct([("kind", pa.int32()), ("form", pa.string())])))
+
+        return forms(F.col(words))
+
+    @F.arrow_udf(T.StringType())
+    def content(words: pa.Array) -> pa.Array:
+        return pa.array([spelling.content(w) for w in words.to_pylist()], pa.string())
+
+    number = F.array_join(F.array_sort(F.regexp_extract_all("_t", F.lit(r"(\p{Nd})"), 1)), "")
+    rows = cut_lineage(values.select(F.col(value_id).alias("_id"), comparable(F.col(value)).alias("words")))
+    wanted = rows.select("words").filter("words <> ''").distinct().withColumn("lc", content(F.col("words"))).filter("lc <> ''")
+    wanted = cut_lineage(wanted.withColumn("_t", F.col("words")).withColumn("d", number).drop("_t").withColumn("forms", forms_of(spelling.typed_forms, "words")))
+    names = names_of(terms, key, label, synonyms).withColumn("full", comparable(F.col("name"))).withColumn("rc", content(F.col("full"))).filter("rc <> ''")
+    names = names.groupBy("rc").agg(F.min("full").alias("full"), F.min("key").alias("key"), F.countDistinct("key").alias("keys")).filter("keys = 1").drop("keys")
+    slips_of = F.greatest(F.lit(0), *(F.when(F.length("rc") >= least, n).otherwise(0) for least, n in by_length)) if by_length else F.lit(0)
+    names = cut_lineage(names.withColumn("_t", F.col("full")).withColumn("d", number).drop("_t").withColumn("s", slips_of).withColumn("forms", forms_of(spelling.turned_forms, "full")))
+    typed = wanted.select("words", "lc", "d", F.inline("forms").alias("kind", "l"))
+    turned = names.select("key", "full", "rc", "d", "s", F.inline("forms").alias("kind", "r"))
+    near = cut_lineage(slip_join(typed.select("l"), turned.select("r", "s"), most))
+    judged = near.join(typed, "l").join(turned.withColumnRenamed("d", "_d").withColumnRenamed("kind", "_kind"), "r")
+    judged = judged.filter((F.col("kind") == F.col("_kind")) & (F.col("d") == F.col("_d")) & (F.col("slips") <= F.col("s")))
+    judged = judged.withColumn("jaccard", _jaccard(trigrams(F.col("lc")), trigrams(F.col("rc"))))
     best = cut_lineage(judged.groupBy("words").agg(F.min(F.struct("slips", (-F.col("jaccard")).alias("minus"), "key")).alias("b")).select("words", F.col("b.key").alias("key"), (-F.col("b.minus")).alias("jaccard")))
     # The best terms are broadcast if few; else Spark shuffles and splits a skewed value such as a filler at run time.
     return rows.join(small_side(best), "words", "left").select(F.col("_id").alias(value_id), F.coalesce("key", F.lit("")).alias(key), "jaccard")

@@ -1,8 +1,6 @@
 import random
 
-import pytest
-
-from termweave.llm.mapping import comparable, distance, map_values, similarity_join, slips
+from termweave.llm.mapping import DOMAIN, distance, map_values, slip_join, slips
 
 TERMS = [
     ("i1", "acute lorlunosis", '["DZS2"]'), ("i2", "chronic lorlunosis", "[]"), ("i3", "left ventaphoskar node", None), ("i4", "sodium thyrbrirazide", '"Viocalv salt"'),
@@ -24,27 +22,22 @@ def test_cases(spark):
     assert {r.iri for r in map_values(values, "row_id", "v", terms.limit(0), "iri", "label", "syn").collect()} == {""}
 
 
-def grams(s):
-    return {s[i : i + 3] for i in range(len(s) - 2)} or {s}
-
-
-@pytest.mark.parametrize("least, broken", [(0.3, 10), (0.6, 100)])
-def test_join_against_brute_force(spark, least, broken):
+def test_join_against_brute_force(spark):
     r = random.Random(4)
     word = lambda: "".join(r.choice("abc") for _ in range(r.randint(1, 14)))
-    left, right = {word() for _ in range(120)}, {word() for _ in range(120)}
-    got = {(x.l, x.r): x.jaccard for x in similarity_join(spark.createDataFrame([(x,) for x in left], "l string"), spark.createDataFrame([(x,) for x in right], "r string"), least, broken).collect()}
-    want = {}
-    for a in left:
-        for b in right:
-            g, h = grams(a), grams(b)
-            j = len(g & h) / len(g | h)
-            if j >= least - 1e-9 and len(g & h) >= max(len(g), len(h)) - broken:
-                want[a, b] = j
-    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    left, right = {word() for _ in range(150)}, {w: min(r.randint(0, 2), (len(w) + 1) // 4) for w in (word() for _ in range(150))}
+    got = {(x.l, x.r): x.slips for x in slip_join(spark.createDataFrame([(x,) for x in left], "l string"), spark.createDataFrame(list(right.items()), "r string, s int"), 2).collect()}
+    assert got == {(a, b): slips(a, b, s) for a in left for b, s in right.items() if slips(a, b, s) <= s}
+    assert len(got) > 20
+
+
+def test_without_slips_only_equal_strings(spark):
+    values = spark.createDataFrame([(0, "acute lorlunosis"), (1, "acute lorlunosos")], "row_id long, v string")
+    terms = spark.createDataFrame(TERMS, "iri string, label string, syn string")
+    assert {r.row_id: r.iri for r in map_values(values, "row_id", "v", terms, "iri", "label", "syn", by_length=()).collect()} == {0: "i1", 1: ""}
 
 
 def test_slips():
     assert [slips(*x, 2) for x in (("abc", "abc"), ("abc", "acb"), ("abc", "abd"), ("abc", "ab"), ("abcd", "dcba"), ("", "ab"), ("a", "abcd"))] == [0, 1, 1, 1, 3, 2, 3]
-    assert comparable("Tumour of the Lung, AD") == "tumor of the lung autosomal dominant"
+    assert DOMAIN.comparable("Tumour of the Lung, AD") == "tumor of the lung autosomal dominant"
     assert distance("type 1 x", "type 2 x") is None
