@@ -36,7 +36,7 @@ def tokens_jaccard(spark, sf_dir: str) -> DataFrame:
 
 
 def edit_blended(spark, sf_dir: str) -> DataFrame:
-    """Edits count characters here, bytes in the SQL engine at hand, so this has no twin."""
+    """Edits count characters, also in the twin, whose engine counts bytes."""
     v = table(spark, sf_dir, "votes")
     return v.select("id", F.round(sim.edit_similarity(F.col("property_value"), F.col("term_label")), 6).alias("edit"), F.round(sim.blended(F.col("property_value"), F.col("term_label")), 6).alias("blended"))
 
@@ -84,7 +84,8 @@ def variant_attribution(spark, sf_dir: str) -> DataFrame:
 
 
 def query_variants(spark, sf_dir: str) -> DataFrame:
-    return _texts(spark, sf_dir).select("text", var.variants(F.col("text")).alias("variants"))
+    """The variants of every text, in order, in one string."""
+    return _texts(spark, sf_dir).select("text", F.array_join(var.variants(F.col("text")), " | ").alias("variants"))
 
 
 def _near(spark, sf_dir: str, k: int) -> DataFrame:
@@ -189,8 +190,8 @@ def latest_votes(spark, sf_dir: str) -> DataFrame:
 
 
 def failed_terms(spark, sf_dir: str) -> DataFrame:
-    """Ids that candidates name and no term has, added to those that votes name."""
-    known = table(spark, sf_dir, "ols_terms").select(F.col("short_form").alias("term_id"))
+    """Ids that candidates name and no live term has, added to those that votes name."""
+    known = table(spark, sf_dir, "ols_terms").filter("is_obsolete = 0").select(F.col("short_form").alias("term_id"))
     missing = lambda n: table(spark, sf_dir, n).select("term_id").filter("term_id is not null").distinct().join(known, "term_id", "left_anti")
     return upkeep.insert_absent(missing("votes"), missing("candidates"), "term_id")
 
@@ -207,7 +208,7 @@ def ttl_fresh(spark, sf_dir: str, days: int = 3) -> DataFrame:
     return e.crossJoin(F.broadcast(now)).filter(upkeep.fresh(F.col("ts"), F.col("now"), days)).select("event_id")
 
 
-def size_cap(spark, sf_dir: str, cap: int = 100_000) -> DataFrame:
+def size_cap(spark, sf_dir: str, cap: int = 5_000) -> DataFrame:
     e = table(spark, sf_dir, "events").select("event_id", "ts", "props")
     return upkeep.newest_within(e, "ts", "event_id", F.octet_length("props"), cap).select("event_id")
 
@@ -293,9 +294,9 @@ SELECT prop_id, string_agg(kind, ', ' ORDER BY seq) AS kinds, CASE WHEN max(top)
     "vote_history": "SELECT property_value, place, id, vote FROM (SELECT *, row_number() OVER (PARTITION BY property_value ORDER BY created_at DESC, id DESC) AS place FROM votes WHERE property_value IS NOT NULL) WHERE place <= 3",
     "vote_history_all": "SELECT property_value, row_number() OVER (PARTITION BY property_value ORDER BY created_at DESC NULLS LAST, id DESC) AS place, id, vote FROM votes WHERE property_value IS NOT NULL",
     "latest_votes": "SELECT id, property_value, term_id, vote FROM (SELECT *, row_number() OVER (PARTITION BY property_value, term_id ORDER BY created_at DESC NULLS LAST, id DESC) AS rn FROM votes) WHERE rn = 1",
-    "failed_terms": "SELECT DISTINCT term_id FROM (SELECT term_id FROM votes UNION ALL SELECT term_id FROM candidates) WHERE term_id IS NOT NULL AND term_id NOT IN (SELECT short_form FROM ols_terms WHERE short_form IS NOT NULL)",
+    "failed_terms": "SELECT DISTINCT term_id FROM (SELECT term_id FROM votes UNION ALL SELECT term_id FROM candidates) WHERE term_id IS NOT NULL AND term_id NOT IN (SELECT short_form FROM ols_terms WHERE short_form IS NOT NULL AND is_obsolete = 0)",
     "evict_down_voted": "SELECT id, property_value, term_id, vote FROM votes v WHERE NOT EXISTS (SELECT 1 FROM votes d WHERE d.vote = 'down' AND d.property_value IS NOT DISTINCT FROM v.property_value AND d.term_id IS NOT DISTINCT FROM v.term_id)",
     "ttl_fresh": "SELECT event_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 3 DAYS",
-    "size_cap": "SELECT event_id FROM (SELECT event_id, sum(strlen(props)) OVER (ORDER BY ts DESC NULLS LAST, event_id DESC ROWS UNBOUNDED PRECEDING) AS run, sum(strlen(props)) OVER () AS total FROM events) WHERE total <= 100000 OR run <= 90000",
+    "size_cap": "SELECT event_id FROM (SELECT event_id, sum(strlen(props)) OVER (ORDER BY ts DESC NULLS LAST, event_id DESC ROWS UNBOUNDED PRECEDING) AS run, sum(strlen(props)) OVER () AS total FROM events) WHERE total <= 5000 OR run <= 4500",
     "seeded_sample": "SELECT row_id, propertyValue FROM text_to_map ORDER BY md5(CAST(row_id AS VARCHAR) || ':42') LIMIT 100",
 }

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from termweave.operators import nested, strict_load
-from termweave.plans import channel_queries, rule_queries, search_queries, service
+from termweave.plans import channel_queries, rule_queries, search_queries, service, twins
 
 FLAGSHIP = "map_full"
 
@@ -18,4 +18,4 @@ QUERIES = {
     **service.QUERIES,
 }
 
-SQL: dict[str, str] = {**rule_queries.SQL, **channel_queries.SQL, **search_queries.SQL, **service.SQL}
+SQL: dict[str, str] = {**rule_queries.SQL, **channel_queries.SQL, **search_queries.SQL, **service.SQL, **twins.SQL}
