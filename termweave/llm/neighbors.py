@@ -1,12 +1,16 @@
 """Problem 2: the k most similar vectors of the same model for every vector.
 
 Score-aware anisotropic quantisation. Each model's unit vectors are parted by k-means; the rest of a vector behind its centroid is
-coded in four bits for every two components, the codes chosen by coordinate descent so that the error parallel to the vector, which
+coded in four bits for every component, the codes chosen by coordinate descent so that the error parallel to the vector, which
 moves large inner products, costs more than the error across it. A query scans the codes of its nearest parts through lookup
 tables (two four-bit codes share one table of 256 sums, sixteen-bit, added for a block of queries at a time); the best of each
 part are ranked again by exact cosine in double precision.
 
-The index is trained on a bounded sample (SAMPLE vectors per model, the smallest by a hash of the id) but holds every vector that can
+Parts stay near PART vectors however many there are: beyond COARSE centroids each part is parted again by a second set of centroids, learnt
+from what the first leave over and shared by all parts, so that their number is a product while a vector is compared with a sum. The work
+per vector is then bounded, and the whole grows with the number of vectors.
+
+The index is trained on a bounded sample (about SAMPLE vectors per model and SAMPLES in all, by a hash of the id) but holds every vector that can
 be an answer: of vectors of exactly one direction only the k + 1 smallest ids can be, as ties go to the smaller id; all of them are queries.
 Parts are cut into blocks of vectors and of queries, so that a hot part is many small tasks.
 """
@@ -22,16 +26,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from termweave.functions.let import let
-from termweave.session import cut_lineage, table
+from termweave.operators.channels import nearest_vectors
+from termweave.session import cut_lineage, materialised, table
 from termweave.skew import join_on_skewed_key
 
 WIDTH = 64
-#: Vectors per model from which centroids and codebooks are learnt.
-SAMPLE = 20_000
-#: Vectors per part aimed at, and the most parts of a model (a larger model gets larger parts, cut into blocks).
-PART, MOST_PARTS = 1_000, 2_048
-#: Parts that a query scans.
-PROBES = 4
+#: Vectors per model, and of all models together, from which centroids and codebooks are learnt; more models than MODELS are a mistake.
+SAMPLE, SAMPLES, MODELS = 20_000, 200_000, 1_000
+#: Vectors per part aimed at, and the most centroids of each of the two sets.
+PART, COARSE, FINE = 1_000, 2_048, 4_096
+#: Parts that a query scans, and those of a model whose parts are parted again.
+PROBES, FINE_PROBES = 4, 16
 #: Candidates per part that are ranked again exactly.
 RERANK = 64
 #: Vectors compared exactly in one step.
@@ -46,10 +51,32 @@ SPLITS = WIDTH // SUB
 
 @dataclass(frozen=True)
 class Index:
-    """What is learnt of one model: centroids (parts x WIDTH) and codebooks (SPLITS x CODES x SUB)."""
+    """What is learnt of one model: centroids (n x WIDTH), what is added to them in the parts of a part (m x WIDTH, one of zeros if parts are not parted), codebooks (SPLITS x CODES x SUB)."""
 
     centroids: np.ndarray
     books: np.ndarray
+    fine: np.ndarray
+
+    def parts(self, x: np.ndarray, k: int = 1) -> np.ndarray:
+        """The k nearest parts of each row, nearest first: the nearest of all pairs of one of the k nearest centroids with what is added."""
+        if len(self.fine) == 1:
+            return nearest(x, self.centroids, k)
+        k = min(k, len(self.centroids) * len(self.fine))
+        out = np.empty((len(x), k), np.int64)
+        for a in range(0, len(x), 256):
+            some = x[a : a + 256]
+            first = nearest(some, self.centroids, k)
+            rest = some[:, None, :] - self.centroids[first]  # rows x k x WIDTH
+            score = rest @ self.fine.T - 0.5 * (self.fine * self.fine).sum(1) - 0.5 * (rest * rest).sum(2, keepdims=True)
+            flat = score.reshape(len(some), -1)
+            top = np.argpartition(-flat, k - 1, axis=1)[:, :k]
+            top = np.take_along_axis(top, np.argsort(-np.take_along_axis(flat, top, 1), axis=1), 1)
+            coarse = np.take_along_axis(first, top // len(self.fine), 1)
+            out[a : a + 256] = coarse * len(self.fine) + top % len(self.fine)
+        return out
+
+    def centres(self, parts: np.ndarray) -> np.ndarray:
+        return self.centroids[parts // len(self.fine)] + self.fine[parts % len(self.fine)]
 
 
 def parallel_weight(width: int = WIDTH, threshold: float = THRESHOLD) -> float:
@@ -108,8 +135,11 @@ def encode(rest: np.ndarray, unit: np.ndarray, books: np.ndarray, weight: float,
 
 def learn(x: np.ndarray, parts: int, rounds: int = 3) -> Index:
     """Centroids and codebooks from unit vectors. A codeword is the weighted least-squares answer for the vectors that use it."""
-    centroids = k_means(x, parts)
+    centroids = k_means(x, min(parts, COARSE))
     rest = x - centroids[nearest(x, centroids)[:, 0]]
+    fine = k_means(rest, min(FINE, -(-parts // len(centroids)))) if parts > COARSE else np.zeros((1, x.shape[1]), np.float32)
+    index = Index(centroids, np.zeros((SPLITS, CODES, SUB), np.float32), fine)
+    rest = x - index.centres(index.parts(x)[:, 0])
     split = rest.reshape(len(x), SPLITS, SUB)
     books = np.zeros((SPLITS, CODES, SUB), np.float32)
     for m in range(SPLITS):
@@ -129,7 +159,7 @@ def learn(x: np.ndarray, parts: int, rounds: int = 3) -> Index:
                 of = codes[:, m] == c
                 if of.sum() > SUB:
                     books[m, c] = np.linalg.solve(outer[of].sum(0), aim[of].sum(0))
-    return Index(centroids, books.astype(np.float32))
+    return Index(centroids, books.astype(np.float32), fine)
 
 
 def scan(q: np.ndarray, codes: np.ndarray, books: np.ndarray, keep: int) -> list[np.ndarray]:
@@ -200,12 +230,18 @@ def usable(df: DataFrame, vector: str) -> DataFrame:
 
 
 def train(index_rows: DataFrame, sizes: dict[str, int]) -> dict[str, Index]:
-    """One index per model from its sample; SAMPLE x models vectors reach the driver."""
-    w = Window.partitionBy("model").orderBy(F.xxhash64("emb_id"), "emb_id")
-    sample = index_rows.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= SAMPLE).select("model", "v").toArrow()
+    """One index per model from the vectors whose id's hash is under a threshold set by the model's size: about SAMPLE of each model and SAMPLES together, whatever the tables' size, reach the driver."""
+    if len(sizes) > MODELS:
+        raise ValueError(f"more than {MODELS} models")
+    if not sizes:
+        return {}
+    each = min(SAMPLE, SAMPLES // len(sizes))
+    share = F.create_map(*(F.lit(v) for m, n in sizes.items() for v in (m, int(min(1.0, each / n) * (1 << 30)))))
+    drawn = F.pmod(F.xxhash64(F.lit("sample"), "emb_id"), F.lit(1 << 30)) < F.try_element_at(share, F.col("model"))
+    sample = index_rows.filter(drawn).select("emb_id", "model", "v").toArrow().sort_by("emb_id")
     models = np.array(sample.column("model").to_pylist(), dtype=object)
     x = _matrix(sample.column("v")).astype(np.float32)
-    return {m: learn(x[models == m], min(MOST_PARTS, -(-n // PART))) for m, n in sizes.items()}
+    return {m: learn(x[models == m], -(-n // PART)) for m, n in sizes.items() if (models == m).any()}
 
 
 def neighbours(df: DataFrame, id_col: str, model: str, vector: str, k: int) -> DataFrame:
@@ -234,9 +270,9 @@ def neighbours(df: DataFrame, id_col: str, model: str, vector: str, k: int) -> D
             part, codes = np.zeros(len(b), np.int32), np.zeros((len(b), SPLITS), np.uint8)
             for m in set(models.tolist()):
                 of = np.flatnonzero(models == m)
-                own = nearest(unit[of], learnt[m].centroids)[:, 0]
+                own = learnt[m].parts(unit[of])[:, 0]
                 part[of] = own
-                codes[of] = encode(unit[of] - learnt[m].centroids[own], unit[of], learnt[m].books, weight)
+                codes[of] = encode(unit[of] - learnt[m].centres(own), unit[of], learnt[m].books, weight)
             packed = codes[:, 0::2] * CODES + codes[:, 1::2]
             yield pa.RecordBatch.from_arrays(
                 [b.column("model"), pa.array(part), b.column("emb_id"), b.column("v"), pa.array([p.tobytes() for p in packed], pa.binary())], names=["model", "part", "emb_id", "v", "code"]
@@ -248,7 +284,7 @@ def neighbours(df: DataFrame, id_col: str, model: str, vector: str, k: int) -> D
             models = np.array(b.column("model").to_pylist(), dtype=object)
             for m in set(models.tolist()):
                 of = np.flatnonzero(models == m)
-                parts = nearest(unit[of], learnt[m].centroids, PROBES)
+                parts = learnt[m].parts(unit[of], PROBES if len(learnt[m].fine) == 1 else FINE_PROBES)
                 who = pa.array(np.repeat(of, parts.shape[1]))
                 yield pa.RecordBatch.from_arrays(
                     [b.column("model").take(who), pa.array(parts.ravel().astype(np.int32)), *(b.column(c).take(who) for c in ("class", "v"))], names=["model", "part", "class", "v"]
@@ -256,8 +292,8 @@ def neighbours(df: DataFrame, id_col: str, model: str, vector: str, k: int) -> D
 
     index = cut_lineage(members.select("model", "emb_id", "v").mapInArrow(assign, "model string, part int, emb_id long, v array<float>, code binary"))
     probes = members.filter("place = 1").select("model", "class", "v").mapInArrow(probe, "model string, part int, class string, v array<float>")
-    # Blocks per part; one row per part, at most MOST_PARTS per model.
-    cuts = F.broadcast(
+    # Blocks per part; one row per part.
+    cuts = materialised(
         index.groupBy("model", "part")
         .agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("xs"))
         .join(probes.groupBy("model", "part").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("qs")), ["model", "part"])
@@ -295,3 +331,20 @@ def p2_found(spark, sf_dir: str, k: int = 5) -> DataFrame:
 def p2_neighbours(spark, sf_dir: str, k: int = 5) -> DataFrame:
     near = neighbours(table(spark, sf_dir, "embedding_store"), "emb_id", "model", "embedding", k)
     return near.select("emb_id", F.posexplode("neighbours").alias("place", "neighbour"))
+
+
+def p2_recall(spark, sf_dir: str, k: int = 5) -> DataFrame:
+    """Per model, of the k most similar vectors of every stated query (ids divisible by 50), found exactly over all vectors in blocks, how many the index gives."""
+    e = table(spark, sf_dir, "embedding_store")
+    found = cut_lineage(neighbours(e, "emb_id", "model", "embedding", k).filter(F.col("emb_id") % 50 == 0))
+    base = cut_lineage(usable(e.select("emb_id", "model", F.col("embedding").alias("v")), "v").filter("model is not null"))
+    true = None
+    for m in [r[0] for r in base.select("model").distinct().limit(MODELS).collect()]:
+        own = base.filter(F.col("model") == m).select(F.col("emb_id").alias("id"), F.col("v").alias("vector"))
+        near = nearest_vectors(own.filter(F.col("id") % 50 == 0).withColumnRenamed("id", "query_id"), own, k).select(F.lit(m).alias("model"), F.col("query_id").alias("emb_id"), "id")
+        true = near if true is None else true.unionByName(near)
+    if true is None:
+        return spark.createDataFrame([], "model string, queries long, true long, found long, recall double")
+    both = true.join(found, "emb_id", "left").withColumn("hit", F.coalesce(F.array_contains("neighbours", F.col("id")), F.lit(False)).cast("long"))
+    counts = both.groupBy("model").agg(F.count_distinct("emb_id").alias("queries"), F.count(F.lit(1)).alias("true"), F.sum("hit").alias("found"))
+    return counts.withColumn("recall", F.round(F.col("found") / F.col("true"), 6))

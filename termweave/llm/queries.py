@@ -9,6 +9,7 @@ QUERIES = {
     "p1_forms": lookalike.p1_forms,
     "p2_found": neighbors.p2_found,
     "p2_neighbours": neighbors.p2_neighbours,
+    "p2_recall": neighbors.p2_recall,
     "p4_found": copies.p4_found,
     "p4_collapsed": copies.p4_collapsed,
     "p5_found": mapping.p5_found,

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from termweave.llm import neighbors as nb
@@ -32,6 +33,27 @@ def test_recall_and_ties(spark):
     assert got[2415] == want[2415] and got[7] == want[7]
 
 
+def test_parts_of_parts(spark, monkeypatch):
+    """More parts than centroids: each is parted again, and 16 of 60 parts are searched."""
+    monkeypatch.setattr(nb, "COARSE", 6)
+    monkeypatch.setattr(nb, "PART", 40)
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 64))
+    vectors = {i: (centres[i % 40] + 0.3 * rng.normal(size=64)).astype(np.float32).tolist() for i in range(2400)}
+    index = nb.learn(nb._matrix(pa.array(vectors.values(), pa.list_(pa.float32()))).astype(np.float32), 60)
+    assert len(index.centroids) * len(index.fine) == 60
+    got = {r.emb_id: list(r.neighbours) for r in nb.neighbours(frame(spark, [(i, "m", v, 1, "x") for i, v in vectors.items()]), "emb_id", "model", "embedding", 5).collect()}
+    want = brute(vectors, 5)
+    assert np.mean([len(set(got[i]) & set(want[i])) / 5 for i in want]) >= 0.95
+
+
+def test_recall_query(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    frame(spark, [(i, "ab"[i % 2], rng.normal(size=64).tolist(), 1, "x") for i in range(400)]).write.parquet(f"{tmp_path}/embedding_store.parquet")
+    got = {r.model: r for r in nb.p2_recall(spark, str(tmp_path)).collect()}
+    assert got["a"].queries == 8 and got["a"].true == 40 and got["a"].recall >= 0.95 and set(got) == {"a"}
+
+
 def test_unusable_and_small(spark):
     nan, inf = float("nan"), float("inf")
     e = [0.0] * 64
