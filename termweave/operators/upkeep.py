@@ -61,6 +61,12 @@ def newest_within(df: DataFrame, age: str, tie: str, size: Column, cap: int, kee
     return run.filter(F.col("_before") + F.col("_run") <= F.lit(keep * cap)).drop("_s", "_r", "_run", "_before")
 
 
+def maintain(df: DataFrame, age: str, tie: str, size: Column, days: int, cap: int) -> DataFrame:
+    """One round of upkeep: rows older than so many days before the newest go, then what exceeds the cap."""
+    now = F.broadcast(df.agg(F.max(age).alias("_now")))  # one row
+    return newest_within(df.crossJoin(now).filter(fresh(F.col(age), F.col("_now"), days)).drop("_now"), age, tie, size, cap)
+
+
 def chunks(sizes: list[int], most_items: int = 500, most_size: int = 64 * 1024) -> list[list[int]]:
     """Places of items in greedy chunks, in order: at most so many items and bytes (each with one separator) a chunk; an item over the size is alone."""
     out: list[list[int]] = []

@@ -50,6 +50,7 @@ best AS (SELECT text, iri, min({{'o': ord, 't': string_type, 'v': variant}}) AS
 SELECT text, iri, b.v AS variant, CASE b.t WHEN 'label' THEN 'OLS_TEXT_TAGGER' ELSE 'OLS_TEXT_TAGGER_SYNONYM' END AS kind, round(CAST(CASE b.t WHEN 'label' THEN 1.0 ELSE 0.9 END AS DOUBLE) * CASE WHEN b.o > 0 THEN 0.95 ELSE 1 END, 6) AS confidence FROM best""",
     "tag_values": f"WITH {DICT_SQL}, {_TEXTS}, {RUNS_SQL}, {_hits_sql('dict', 'hit')} SELECT text, iri, kind, round(coverage, 6) AS coverage, round({_WORTH}, 6) AS confidence FROM (SELECT *, {_KIND} AS kind FROM hit)",
     "paragraph_rows": f"WITH {PARAGRAPHS_SQL} SELECT doc_id, \"start\", \"end\", text FROM par",
+    "unique_segments": f"WITH {PARAGRAPHS_SQL} SELECT doc_id, text FROM (SELECT doc_id, arg_min(text, \"start\") AS text FROM par GROUP BY doc_id, lower(text))",
     "gap_fill": f"""WITH {PARAGRAPHS_SQL}, edge AS (SELECT doc_id, "start", "end" FROM par UNION ALL SELECT doc_id, length(text), length(text) FROM documents WHERE text IS NOT NULL)
 SELECT * FROM (SELECT doc_id, coalesce(lag("end") OVER (PARTITION BY doc_id ORDER BY "start", "end"), 0) AS gap_start, "start" AS gap_end FROM edge) WHERE gap_start < gap_end""",
     "greedy_spans": f"""WITH span AS ({CHANNEL_SQL['tag_spans']}), l AS (SELECT doc_id, list_sort(list(DISTINCT {{'s': "start", 'e': "end"}})) AS l FROM span GROUP BY doc_id),

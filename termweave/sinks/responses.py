@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from termweave.functions import evidence as ev
 from termweave.operators.rules import chain_of
+from termweave.skew import ordered_positions
 
 # The columns of the legacy report, its study, and the mark of a property without candidates.
 REPORT_COLUMNS = ("PROPERTY TYPE", "PROPERTY VALUE", "ONTOLOGY TERM LABEL(S)", "CONFIDENCE", "ONTOLOGY TERM(S)", "ONTOLOGY(S)", "SOURCE(S)", "STUDY")
@@ -51,6 +52,14 @@ def write_events(mapped: DataFrame, path: str) -> None:
     mapped.select(F.lit("result").alias("event"), F.col("property_type").alias("propertyType"), F.col("text").alias("textToMap"), "candidates", "error").write.mode("overwrite").json(path)
 
 
+def event_rows(mapped: DataFrame, order: str) -> DataFrame:
+    """The events of one stream: a result for every row, numbered in order (``completed`` of ``total``), then "done"; ``order`` is unique. No task holds all rows."""
+    total = F.broadcast(mapped.agg(F.count(F.lit(1)).alias("total")))  # one row
+    placed = ordered_positions(mapped.withColumn("_all", F.lit(0)), "_all", [F.col(order).asc()], "completed").drop("_all")
+    done = mapped.agg(F.count(F.lit(1)).alias("total")).select(F.lit("done").alias("type"), F.col("total").alias("completed"), "total")
+    return placed.withColumn("type", F.lit("result")).crossJoin(total).unionByName(done, allowMissingColumns=True)
+
+
 def flat(mapped: DataFrame) -> DataFrame:
     """One row per candidate, or one placeholder for a property with an error or without candidates."""
     each = mapped.select("prop_id", "property_type", "text", "error", F.posexplode_outer("candidates").alias("place", "c"))
