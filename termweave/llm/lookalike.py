@@ -9,6 +9,7 @@ look alone, so texts that look the same get the same form, and texts that look d
 
 from __future__ import annotations
 
+import hashlib
 import math
 import unicodedata
 from collections import Counter
@@ -81,13 +82,22 @@ _PLAIN = _Table(_compat)
 _LOOK = _Table(lambda c: _CLASS.get(c, c))
 
 
+def _is_plain(text: str) -> bool:
+    """Whether a text is made of printable ASCII, which no rule changes."""
+    return text.isascii() and text.isprintable()
+
+
 def plain(text: str) -> str:
     """Compatibility forms resolved and inkless characters deleted; decomposed."""
+    if _is_plain(text):
+        return text
     return unicodedata.normalize("NFD", unicodedata.normalize("NFD", text).translate(_PLAIN))
 
 
 def look(text: str) -> str:
     """The classes of look of a text: equal exactly for texts that look the same."""
+    if _is_plain(text):  # every ASCII character is the form of its class
+        return text
     return plain(text).translate(_LOOK)
 
 
@@ -112,6 +122,7 @@ _READINGS = {c: readings(c) for c in ALIKE}
 _IN_LATTICE = frozenset(x for v in _READINGS.values() for x in v)
 
 
+@lru_cache(maxsize=None)
 def symbol(c: str) -> str:
     """What the bigrams count: lattice letters as such, other characters by script. At most a few hundred symbols."""
     return c if c in _IN_LATTICE else f"*{script(c)}"
@@ -128,6 +139,7 @@ class Reader:
         self.rare = {a: math.log(0.1 / (n + 30.0)) for a, n in first.items()}
         self.none = math.log(0.1 / 30.0)
         self._known: dict[str, str] = {}
+        self._texts: dict[str, str] = {}
 
     def _score(self, a: str, b: str) -> float:
         s = self.scores.get((a, b))
@@ -161,15 +173,25 @@ class Reader:
         """The one form of a text; null stays null, empty stays empty."""
         if text is None:
             return None
-        return unicodedata.normalize("NFC", " ".join(self.token(t) for t in look(text).split(" ")))
+        known = self._texts.get(text)
+        if known is None:
+            known = unicodedata.normalize("NFC", " ".join(self.token(t) for t in look(text).split(" ")))
+            if len(text) <= 128:
+                if len(self._texts) >= CACHE:
+                    self._texts.clear()
+                self._texts[text] = known
+        return known
 
 
 def count_bigrams(texts: Iterator[str]) -> Counter:
-    seen: Counter = Counter()
+    tokens: Counter = Counter()
     for t in texts:
-        for token in plain(t).split(" "):
-            s = ["^", *map(symbol, token), "$"]
-            seen.update(zip(s, s[1:]))
+        tokens.update(plain(t).split(" "))
+    seen: Counter = Counter()
+    for token, n in tokens.items():
+        s = ["^", *map(symbol, token), "$"]
+        for pair in zip(s, s[1:]):
+            seen[pair] += n
     return seen
 
 
@@ -187,21 +209,21 @@ def bigrams_of(texts: DataFrame) -> dict[tuple[str, str], int]:
 
 
 def one_form(text: Column, bigrams: dict[tuple[str, str], int]) -> Column:
-    """The one form of each text."""
+    """The one form of each text. A worker keeps its reader for as long as the counts are the same by content."""
+    counts = hashlib.sha256(repr(sorted(bigrams.items())).encode()).hexdigest()
 
     @F.arrow_udf("string")
     def form(texts: pa.Array) -> pa.Array:
-        key = id(bigrams)
-        reader = _READERS.get(key)
+        reader = _READERS.get(counts)
         if reader is None:
             _READERS.clear()
-            reader = _READERS[key] = Reader(bigrams)
+            reader = _READERS[counts] = Reader(bigrams)
         return pa.array([reader.read(t) for t in texts.to_pylist()], pa.string())
 
     return form(text)
 
 
-_READERS: dict[int, Reader] = {}
+_READERS: dict[str, Reader] = {}
 
 
 def look_alike_pairs(rows: DataFrame, row_id: str, value: str, terms: DataFrame, key: str, label: str) -> DataFrame:

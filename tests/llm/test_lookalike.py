@@ -2,6 +2,9 @@ import unicodedata
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from termweave.llm import lookalike
 from termweave.llm.lookalike import ALIKE, Reader, count_bigrams, look, look_alike_pairs
 
 SAME = [
@@ -49,3 +52,11 @@ def test_pairs(spark):
     assert got == [(1, "t1"), (1, "t2"), (1, "t4"), (2, "t4"), (5, "t1"), (5, "t2"), (5, "t4")]
     assert look_alike_pairs(rows.limit(0), "row_id", "v", terms, "iri", "label").count() == 0
     assert look_alike_pairs(rows, "row_id", "v", terms.limit(0), "iri", "label").count() == 0
+
+
+def test_reader_follows_the_counts(spark):
+    """Two vocabularies in one session: each column reads under its own counts."""
+    df = spark.createDataFrame([("сор",)], "t string")
+    latin, cyrillic = ({("^", x): 50 for x in ("c", "с")} | pairs for pairs in ({("c", "o"): 90, ("o", "p"): 90, ("p", "$"): 90}, {("с", "о"): 90, ("о", "р"): 90, ("р", "$"): 90}))
+    got = [df.select(lookalike.one_form(F.col("t"), b).alias("f")).first().f for b in (latin, cyrillic, latin)]
+    assert got == ["cop", "сор", "cop"]
