@@ -79,6 +79,9 @@ class StructuralIndex:
         self.open_at, self.is_array = at[opens], kind[opens] == _OPEN_A
         self._by_place = np.argsort(self.open_at, kind="stable")
         self._places = self.open_at[self._by_place]
+        if self.sound.all():  # then brackets pair in this order; a pair of two kinds breaks its body
+            odd = self.open_at[kind[closes] != kind[opens] + 2]
+            self.sound[np.searchsorted(limits, odd, side="right") - 1] = False
         # An element lies between one of { [ , and the next , ] } of its container; in objects a colon is between.
         here = np.arange(len(at) - 1)
         same = inside[:-1] == inside[1:] if len(at) else np.zeros(0, bool)
@@ -231,7 +234,7 @@ def _rows_of(ids: np.ndarray, bodies: pa.Array, paths: tuple[Path, ...]) -> Iter
         own = limits[at : until + 1]
         data, own, rec = raw[own[0] : own[-1]], own - own[0], ids[at:until]
         index = StructuralIndex(data, own)
-        if not index.sound.all():  # leave broken bodies out and index the rest
+        while not index.sound.all():  # leave broken bodies out and index the rest
             keep = np.flatnonzero(index.sound)
             data = np.concatenate([data[own[i] : own[i + 1]] for i in keep] or [data[:0]])
             own = np.concatenate([[0], np.cumsum(np.diff(own)[keep])]).astype(np.int64)

@@ -19,8 +19,8 @@ from termweave.functions.let import let
 from termweave.session import table
 
 REASONS = ("quoting", "column_count", "invalid_value", "unknown_format")
-#: A folder of formats is configuration; more than this is a mistake.
-MAX_FORMATS = 1_000
+#: Formats and property types are configuration; more than this is a mistake.
+MAX_FORMATS, MAX_TYPES = 1_000, 10_000
 _ESC, _SEP = "\u0001a", "\u0001b"
 
 
@@ -40,6 +40,14 @@ def read_formats(formats: DataFrame) -> list[Format]:
     return sorted((Format(r[0], r[1], r[2], tuple(r[3].split(","))) for r in rows), key=lambda f: f.format_id)
 
 
+def read_types(types: DataFrame) -> list[str]:
+    """The names of property types as configuration (at most MAX_TYPES, else an error)."""
+    names = [r[0] for r in types.select("type_name").filter("type_name is not null").distinct().limit(MAX_TYPES + 1).collect()]
+    if len(names) > MAX_TYPES:
+        raise ValueError(f"more than {MAX_TYPES} property types")
+    return sorted(names)
+
+
 def _literal_split(text: Column, mark: str) -> Column:
     return F.split(text, "\\Q" + mark + "\\E", -1)
 
@@ -102,8 +110,7 @@ def _values_ok(field: dict[str, Column], types: Column) -> Column:
 
 def _parsed(raw: DataFrame, formats: list[Format], types: DataFrame) -> DataFrame:
     """raw_id, format_id, line, fields, n_want, quoted_ok, and by name the fields; types is attached as one array."""
-    known = types.agg(F.collect_set("type_name").alias("_types"))  # as many names as property types: configuration
-    rows = raw.select("raw_id", "format_id", "line").crossJoin(F.broadcast(known))
+    rows = raw.select("raw_id", "format_id", "line").withColumn("_types", F.lit(read_types(types)).cast("array<string>"))
     ok, fields, want = F.lit(None).cast("boolean"), F.lit(None).cast("array<string>"), F.lit(None).cast("int")
     names = sorted({c for f in formats for c in f.columns} | {"row_no", "propertyValue", "propertyType", "submitted", "note"})
     order: dict[str, Column] = {n: F.lit(None).cast("int") for n in names}
@@ -144,7 +151,7 @@ def reject(raw: DataFrame, formats: DataFrame, types: DataFrame) -> DataFrame:
 
     Reasons in order: quoting, column_count, invalid_value. A null line has no fields and gives column_count; a line whose
     format is null or unknown gives unknown_format. The admitted offsets are subtracted from all offsets by an anti-join on
-    raw_id, and only the remainder is diagnosed. raw_id is the record offset and must be unique.
+    raw_id, and only the remainder is diagnosed. raw_id is the record offset and must be unique; a line without one is judged by itself, as nothing can be subtracted.
     """
     known = read_formats(formats)
     loaded = strict_load(raw, formats, types).select("raw_id")
@@ -156,7 +163,8 @@ def reject(raw: DataFrame, formats: DataFrame, types: DataFrame) -> DataFrame:
         .when(F.size("fields") != F.col("n_want"), "column_count")
         .otherwise("invalid_value")
     )
-    return _parsed(rest, known, types).select("raw_id", "format_id", "line", why.alias("reason"))
+    parsed = _parsed(rest, known, types).filter(F.col("raw_id").isNotNull() | ~_conforms())
+    return parsed.select("raw_id", "format_id", "line", why.alias("reason"))
 
 
 def p3_found(spark, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from termweave.operators import nested, strict_load
-from termweave.plans import channel_queries, client_queries, rule_queries, search_queries, service, twins
+from termweave.plans import channel_queries, client_queries, rule_queries, search_queries, service, service_twins, twins
 
 FLAGSHIP = "map_full"
 
@@ -19,4 +19,4 @@ QUERIES = {
     **service.QUERIES,
 }
 
-SQL: dict[str, str] = {**rule_queries.SQL, **channel_queries.SQL, **search_queries.SQL, **client_queries.SQL, **service.SQL, **twins.SQL}
+SQL: dict[str, str] = {**rule_queries.SQL, **channel_queries.SQL, **search_queries.SQL, **client_queries.SQL, **service.SQL, **twins.SQL, **service_twins.SQL}

@@ -257,13 +257,13 @@ def _hits_sql(entries: str, out: str) -> str:
 
 _KIND = """CASE WHEN coverage >= 1 AND string_type = 'CURATION' THEN 'CURATED_EXACT' WHEN coverage >= 1 AND string_type = 'synonym' THEN 'OLS_TEXT_TAGGER_SYNONYM' WHEN coverage >= 1 THEN 'OLS_TEXT_TAGGER'
   WHEN string_type = 'CURATION' THEN 'CURATED_SUBSTRING' ELSE 'OLS_TEXT_TAGGER_SUBSTRING' END"""
-_WORTH = "CASE kind WHEN 'CURATED_EXACT' THEN 1.0 WHEN 'OLS_TEXT_TAGGER' THEN 1.0 WHEN 'OLS_TEXT_TAGGER_SYNONYM' THEN 0.9 ELSE 0.89 * coverage END"
+_WORTH = "CASE kind WHEN 'CURATED_EXACT' THEN CAST(1.0 AS DOUBLE) WHEN 'OLS_TEXT_TAGGER' THEN 1.0 WHEN 'OLS_TEXT_TAGGER_SYNONYM' THEN 0.9 ELSE 0.89 * coverage END"
 TAGGED_SQL = f"""{DICT_SQL}, {_TEXTS}, {RUNS_SQL}, {_hits_sql('dict', 'hit')}, {_hits_sql('curd', 'chit')}, {VARIANTS_SQL},
 vhit0 AS (SELECT text, unnest(variants) AS variant, unnest(range(1, len(variants) + 1)) AS ord FROM vars),
 vhit AS (SELECT text, iri, b.t AS string_type, b.v AS variant, b.f AS short_form, b.c AS source FROM (SELECT text, iri, min({{'a': ord, 't': string_type, 'l': label, 'o': ontology, 'f': short_form, 'c': source, 'v': variant}}) AS b FROM vhit0 JOIN dict ON lower(variant) = surface GROUP BY text, iri)
   WHERE NOT EXISTS (SELECT 1 FROM hit h WHERE h.text = vhit0.text AND h.iri = dict.iri)),
-every AS (SELECT text, iri, short_form, source, coverage, string_type, 6 AS channel, text AS input, 1.0 AS discount FROM chit UNION ALL SELECT text, iri, short_form, source, coverage, string_type, 7, text, 1.0 FROM hit
-  UNION ALL SELECT text, iri, short_form, source, 1.0, string_type, 8, variant, 0.95 FROM vhit),
+every AS (SELECT text, iri, short_form, source, coverage, string_type, 6 AS channel, text AS input, CAST(1.0 AS DOUBLE) AS discount FROM chit UNION ALL SELECT text, iri, short_form, source, coverage, string_type, 7, text, CAST(1.0 AS DOUBLE) FROM hit
+  UNION ALL SELECT text, iri, short_form, source, CAST(1.0 AS DOUBLE), string_type, 8, variant, CAST(0.95 AS DOUBLE) FROM vhit),
 tags AS (SELECT *, {_WORTH} * discount AS confidence FROM (SELECT *, {_KIND} AS kind FROM every))"""
 TAGGED_SQL = TAGGED_SQL.replace("JOIN dict ON lower(variant) = surface GROUP BY text, iri)\n  WHERE NOT EXISTS (SELECT 1 FROM hit h WHERE h.text = vhit0.text AND h.iri = dict.iri))", "JOIN dict ON lower(variant) = surface GROUP BY text, iri) z\n  WHERE NOT EXISTS (SELECT 1 FROM hit h WHERE h.text = z.text AND h.iri = z.iri))")
 _SETTLE = "kind IN ('CURATED_EXACT', 'OLS_TEXT_TAGGER')"

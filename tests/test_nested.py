@@ -49,12 +49,12 @@ def test_against_parsing(spark):
 
 def test_defined_cases(spark):
     deep = {"derivedFrom": {"derivedFrom": {"provenance": {"evidence": "B"}}, "provenance": None}}
-    bodies = [(1, None), (2, ""), (3, "  "), (4, "12"), (5, '{"derivedFrom": "x'), (6, json.dumps(deep)), (None, '{"derivedFrom":{"provenance":{"evidence":"N"}}}'), (7, '{"derived\\u0046rom":{"provenance":{"evidence":"\\u00e9"}}}'), (8, '{"derivedFrom":{"provenance":{"evidence":"x"}},"derivedFrom":{"provenance":{"evidence":"last"}}}'), (9, "]["), (10, '{"derivedFrom":{}}'), (10, '{"derivedFrom":{}}')]
+    bodies = [(1, None), (2, ""), (3, "  "), (4, "12"), (5, '{"derivedFrom": "x'), (6, json.dumps(deep)), (None, '{"derivedFrom":{"provenance":{"evidence":"N"}}}'), (7, '{"derived\\u0046rom":{"provenance":{"evidence":"\\u00e9"}}}'), (8, '{"derivedFrom":{"provenance":{"evidence":"x"}},"derivedFrom":{"provenance":{"evidence":"last"}}}'), (9, "]["), (11, '{"derivedFrom":{"a":[}}}'), (10, '{"derivedFrom":{}}'), (10, '{"derivedFrom":{}}')]
     df = spark.createDataFrame(bodies, "id long, body string")
     got = [(r.rec_id, r.node, r.val) for r in flatten(df, "id", "body", ANNOTATION).collect()]
     want = [(6, "1", ""), (6, "2", "B"), (None, "1", "N"), (7, "1", "é"), (8, "1", "last"), (10, "1", ""), (10, "1", "")]
     assert sorted(got, key=str) == sorted(want, key=str)
-    assert sorted(r[0] for r in broken_bodies(df, "id", "body").collect()) == [2, 3, 5, 9]
+    assert sorted(r[0] for r in broken_bodies(df, "id", "body").collect()) == [2, 3, 5, 9, 11]
     assert flatten(df.limit(0), "id", "body", ANNOTATION).count() == 0
 
 
