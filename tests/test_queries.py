@@ -7,8 +7,6 @@ import __spark_entry__ as entry
 from termweave.plans import queries as core
 from termweave.streaming.mapping import distinct_stream, label_stream, map_stream
 
-SLOW = {"service_map", "service_report", "service_json", "service_annotate", "annotate_segments", "greedy_spans"}
-
 
 @pytest.mark.parametrize("name", sorted(set(core.SQL)))
 def test_twin(spark, duck, small, name):
