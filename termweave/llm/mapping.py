@@ -188,7 +188,9 @@ def slip_join(left: DataFrame, right: DataFrame, most: int) -> DataFrame:
     each = placed(right, "r", "s")
     rarity = materialised(each.groupBy("gram").agg(F.count(F.lit(1)).alias("df")))
     longest = right.agg(F.coalesce(F.max(F.length("r")), F.lit(0))).first()[0]
-    left = left.select("l").distinct().filter(F.length("l") <= longest + most)
+    # A fixed number of tasks: few bytes here become many rows in the join, which a task sized by bytes would do alone.
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = left.select("l").filter(F.length("l") <= longest + most).repartition(tasks, "l").distinct()
 
     def prefix(df: DataFrame, name: str, many: Column, place: str, at: str, *more: str) -> DataFrame:
         known = df.join(rarity, "gram", "left")
