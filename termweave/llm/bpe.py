@@ -75,26 +75,35 @@ class PrefixTable:
 
     def append(self, more: bytes) -> PrefixTable:
         """Lengthen the word; what is known of its prefixes stays."""
-        v, start = self.vocabulary, len(self.raw)
         self.raw += more
-        raw, last, ranks = self.raw, self.last, v.ranks
-        for end in range(start + 1, len(raw) + 1):
-            for begin in range(max(0, end - v.longest), end):
-                token = ranks.get(raw[begin:end])
-                if token is None:
-                    continue
-                if v.alone(token) if begin == 0 else v.stands(last[begin], token):
-                    last.append(token)
-                    break
-            else:
-                raise ValueError("the vocabulary lacks a single byte")
+        while len(self.last) <= len(self.raw):
+            self._next()
         return self
 
+    def _next(self) -> None:
+        """The last token of the shortest prefix that has none yet."""
+        v, raw, last, end = self.vocabulary, self.raw, self.last, len(self.last)
+        for begin in range(max(0, end - v.longest), end):
+            token = v.ranks.get(raw[begin:end])
+            if token is not None and (v.alone(token) if begin == 0 else v.stands(last[begin], token)):
+                last.append(token)
+                return
+        raise ValueError("the vocabulary lacks a single byte")
+
     def edit(self, at: int, until: int, new: bytes) -> PrefixTable:
-        """Replace raw[at:until]; the table up to ``at`` is reused."""
-        rest = self.raw[until:]
-        self.raw, self.last = self.raw[:at], self.last[: at + 1]
-        return self.append(new + rest)
+        """Replace raw[at:until]. The table up to ``at`` is reused, and behind the edit again from where as many last tokens in a row as the longest token has
+        bytes are those of the old table: from there on both tables see the same."""
+        old, behind = self.last, len(self.raw) - until
+        self.raw = self.raw[:at] + new + self.raw[until:]
+        self.last = old[: at + 1]
+        start, same = at + len(new), 0
+        while len(self.last) <= len(self.raw):
+            self._next()
+            j = len(self.last) - 1 - start
+            same = same + 1 if j > 0 and self.last[-1] == old[until + j] else 0
+            if same >= self.vocabulary.longest and j < behind:
+                self.last += old[until + j + 1 :]
+        return self
 
     def ids(self) -> list[int]:
         out, end = [], len(self.raw)

@@ -131,3 +131,9 @@ def p9_fill(spark, sf_dir: str) -> DataFrame:
     """How full the containers are: one row per number of tokens used."""
     used = p9_containers(spark, sf_dir).groupBy("container_id").agg(F.sum("n").alias("used"), F.count(F.lit(1)).alias("pieces"))
     return used.groupBy("used").agg(F.count(F.lit(1)).alias("containers"), F.sum("pieces").alias("pieces"))
+
+
+def p9_bound(spark, sf_dir: str) -> DataFrame:
+    """One row: the containers used, the tokens in them, and the least number of containers that could hold these tokens."""
+    used = p9_containers(spark, sf_dir).agg(F.count_distinct("container_id").alias("containers"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"))
+    return used.withColumn("least", F.ceil(F.col("tokens") / CAPACITY))

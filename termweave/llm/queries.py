@@ -18,6 +18,7 @@ QUERIES = {
     "p8_ids": bpe.p8_ids,
     "p9_containers": packing.p9_containers,
     "p9_fill": packing.p9_fill,
+    "p9_bound": packing.p9_bound,
     "p10_found": sentences.p10_found,
     "p10_evidence": sentences.p10_evidence,
 }

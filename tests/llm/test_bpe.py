@@ -33,6 +33,17 @@ def test_appends_and_edits():
         assert PrefixTable(e.vocabulary, word).edit(at, at + 5, b"xyz").ids() == PrefixTable(e.vocabulary, word[:at] + b"xyz" + word[at + 5 :]).ids()
 
 
+def test_an_edit_is_encoded_again_near_it_only(monkeypatch):
+    e, r = Encoder(), random.Random(9)
+    word = "".join(r.choice("abeitnsré") for _ in range(4000)).encode()
+    table, steps = PrefixTable(e.vocabulary, word), []
+    step = PrefixTable._next
+    monkeypatch.setattr(PrefixTable, "_next", lambda self: (steps.append(1), step(self)))
+    edited = table.edit(50, 52, b"xyz")
+    assert len(steps) < 50 + 2 * e.vocabulary.longest
+    assert edited.ids() == PrefixTable(e.vocabulary, word[:50] + b"xyz" + word[52:]).ids()
+
+
 def test_columns(spark, public):
     df = spark.createDataFrame([(1, None), (2, ""), (3, " "), (4, "a b"), (4, "a b")], "doc_id long, text string").withColumn("ids", F.lit("clash"))
     got = [(r[0], list(r[1]), r[2]) for r in df.select("doc_id", token_ids(F.col("text")), token_count(F.col("text"))).collect()]
