@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -96,13 +97,24 @@ def segment(text: str) -> list[Span]:
 
 
 def merge(segments: list[Span], tagged: list[Span]) -> list[Span]:
-    """A fold over tagged spans, in order: one that overlaps nothing is added, one longer than all it overlaps replaces them, any other is dropped. Each meets the list as earlier ones left it."""
-    merged = list(segments)
+    """A fold over tagged spans, in order: one that overlaps nothing is added, one longer than all it overlaps replaces them, any other is dropped. Each meets the list as
+    earlier ones left it.
+
+    Segments that do not overlap stay so, and those that a span overlaps are neighbours found by bisection. Overlapping segments are compared one by one.
+    """
+    merged = sorted(segments)
+    if any(b[0] < a[1] for a, b in zip(merged, merged[1:])):
+        for s, e in tagged:
+            over = {m for m in merged if m[0] < e and m[1] > s}
+            if all(e - s > m[1] - m[0] for m in over):
+                merged = [m for m in merged if m not in over] + [(s, e)]
+        return sorted(merged, key=lambda m: m[0])
+    starts, ends = [m[0] for m in merged], [m[1] for m in merged]
     for s, e in tagged:
-        over = [m for m in merged if m[0] < e and m[1] > s]
-        if all(e - s > m[1] - m[0] for m in over):
-            merged = [m for m in merged if m not in over] + [(s, e)]
-    return sorted(merged, key=lambda m: m[0])
+        i, j = bisect_right(ends, s), bisect_left(starts, e)
+        if all(e - s > ends[k] - starts[k] for k in range(i, j)):
+            starts[i:j], ends[i:j] = [s], [e]
+    return list(zip(starts, ends))
 
 
 def greedy(spans: list[Span]) -> list[Span]:
@@ -156,13 +168,14 @@ def merge_rows(segments: DataFrame, tagged: DataFrame, id_col: str) -> DataFrame
 
 
 def greedy_rows(spans: DataFrame, id_col: str) -> DataFrame:
-    """Non-overlapping spans per document by start, as a fold over its sorted spans."""
-    fold = F.aggregate(
-        F.array_sort(F.collect_set(F.struct("start", "end"))),
-        F.array().cast("array<struct<start:bigint,end:bigint>>"),
-        lambda acc, s: F.when((F.size(acc) == 0) | (s["start"] >= F.try_element_at(acc, F.lit(-1))["end"]), F.array_append(acc, F.struct(s["start"].cast("long").alias("start"), s["end"].cast("long").alias("end")))).otherwise(acc),
-    )
-    return spans.groupBy(id_col).agg(fold.alias("kept")).select(id_col, F.explode("kept").alias("k")).select(id_col, "k.start", "k.end")
+    """Non-overlapping spans per document by start: one pass over its sorted spans, which are held together."""
+    kind = dict(spans.dtypes)[id_col]
+
+    def fold(key, rows):
+        kept = greedy(list(set(zip(rows.column("start").to_pylist(), rows.column("end").to_pylist()))))
+        return pa.Table.from_arrays([pa.array([key[0].as_py()] * len(kept), rows.schema.field(id_col).type), pa.array([s for s, _ in kept], pa.int64()), pa.array([e for _, e in kept], pa.int64())], names=[id_col, "start", "end"])
+
+    return spans.select(id_col, "start", "end").distinct().groupBy(id_col).applyInArrow(fold, f"`{id_col}` {kind}, start long, end long")
 
 
 def gaps(spans: DataFrame, lengths: DataFrame, id_col: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import gzip
+import random
 
 from pyspark.sql import functions as F
 
@@ -44,6 +45,20 @@ def test_folds():
     assert upkeep.chunks([1, 1, 100, 1], 2, 10) == [[0, 1], [2], [3]] and upkeep.chunks([]) == []
 
 
+def test_merge_by_bisection_equals_the_scan():
+    r = random.Random(2)
+    for _ in range(200):
+        cuts = sorted(r.sample(range(60), 12))
+        parts = list(zip(cuts[::2], cuts[1::2]))
+        tagged = sorted({tuple(sorted(r.sample(range(60), 2))) for _ in range(8)})
+        want = list(parts)
+        for s, e in tagged:
+            over = [m for m in want if m[0] < e and m[1] > s]
+            if all(e - s > m[1] - m[0] for m in over):
+                want = [m for m in want if m not in over] + [(s, e)]
+        assert segments.merge(parts, tagged) == sorted(want)
+
+
 def test_spans(spark):
     s = spark.createDataFrame([(1, 2, 5), (1, 4, 9), (1, 5, 6), (2, 0, 3)], "d long, start long, end long")
     assert sorted(map(tuple, segments.greedy_rows(s, "d").collect())) == [(1, 2, 5), (1, 5, 6), (2, 0, 3)]
