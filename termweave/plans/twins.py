@@ -58,6 +58,7 @@ k AS (SELECT doc_id, unnest(list_reduce(list_transform(l, lambda x: [x]), lambda
     "response_flat": f"""WITH RECURSIVE {_NESTED}, x AS (SELECT rec_id, node, TRY_CAST(json_extract_string(j, '$.confidence') AS DOUBLE) AS v FROM c WHERE json_type(j) <> 'NULL')
 SELECT rec_id AS response_id, node, round(v, 6) AS confidence, CASE WHEN v IS NULL THEN NULL WHEN v >= 0.9 THEN 'HIGH' WHEN v >= 0.7 THEN 'GOOD' WHEN v >= 0.5 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM x""",
     "p6_found": f"WITH RECURSIVE {_NESTED} {_P6}",
+    "p6_flat": f"""WITH RECURSIVE {_NESTED}, o AS ({_P6}) SELECT kind, rec_id, node, CASE WHEN kind <> 'derived' THEN regexp_replace(node, '\\.[^.]*$', '') WHEN node = '1' THEN '' ELSE CAST(CAST(node AS INTEGER) - 1 AS VARCHAR) END AS parent, val FROM o""",
     "p3_found": f"""WITH {LINES_SQL} SELECT raw_id, CASE WHEN NOT ok THEN 'quoting' WHEN len(f) <> len(cols) THEN 'column_count' ELSE 'invalid_value' END AS reason FROM line WHERE NOT ok OR len(f) <> len(cols) OR NOT coalesce({_VALID}, false)""",
     "p3_loaded": f"""WITH {LINES_SQL} SELECT raw_id, CAST(row_no AS BIGINT) AS row_no, propertyValue, nullif(propertyType, '') AS propertyType, note, CAST(submitted AS TIMESTAMP) AS submitted FROM line WHERE ok AND len(f) = len(cols) AND {_VALID}""",
 }
