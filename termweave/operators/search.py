@@ -15,7 +15,7 @@ from termweave.functions import ids
 from termweave.functions import similarity as sim
 from termweave.operators import channels
 from termweave.plans.filters import Filter
-from termweave.session import cut_lineage, materialised, small_side
+from termweave.session import cut_lineage, small_side
 
 #: Results of one search: by words, by vectors at first, by vectors when searched deeply, and terms near a term.
 LEXICAL, SHALLOW, DEEP, SIMILAR = 20, 10, 100, 50

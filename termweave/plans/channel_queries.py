@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termweave.functions import evidence as ev
 from termweave.functions import ids
 from termweave.functions import similarity as sim
 from termweave.functions import variants as var
-from termweave.operators import channels, obsolete, registry, rules, segments, upkeep
+from termweave.operators import channels, obsolete, registry, segments, upkeep
 from termweave.session import table
 from termweave.skew import ordered_positions
 from termweave.sources.adapter import EVIDENCE_SQL, NAMES_SQL, evidence, properties, terms
@@ -169,13 +169,6 @@ def mapped_summary(spark, sf_dir: str) -> DataFrame:
     return per_kind.groupBy("prop_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "kind"))), lambda s: s["kind"]), ", ").alias("kinds"), cls.alias("class"), (top >= 0.9).alias("mapped"))
 
 
-def vote_history(spark, sf_dir: str, n: int = 3) -> DataFrame:
-    """The newest n votes of each value."""
-    v = table(spark, sf_dir, "votes").filter("property_value is not null")
-    w = Window.partitionBy("property_value").orderBy(F.col("created_at").desc(), F.col("id").desc())
-    return v.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n).select("property_value", "place", "id", "vote")
-
-
 def vote_history_all(spark, sf_dir: str) -> DataFrame:
     """All votes of each value, newest first (S18 has no limit)."""
     v = table(spark, sf_dir, "votes").filter("property_value is not null").select("property_value", "created_at", "id", "vote")
@@ -240,7 +233,7 @@ def gap_fill(spark, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     tokens_jaccard, edit_blended, containment_score, exact_label_match, tightest_containment, fuzzy_topk, tag_spans, tag_values, variant_attribution, query_variants,
     vector_topk, similar_expansion, xref_expansion, obsolete_chain, live_evidence, longest_prefix, short_form_to_iri, ontology_top10, store_counts, multi_high, mapped_summary,
-    vote_history, vote_history_all, latest_votes, failed_terms, evict_down_voted, ttl_fresh, size_cap, seeded_sample, paragraph_rows, annotate_segments, greedy_spans, gap_fill,
+    vote_history_all, latest_votes, failed_terms, evict_down_voted, ttl_fresh, size_cap, seeded_sample, paragraph_rows, annotate_segments, greedy_spans, gap_fill,
 )}
 
 _JAC = "round(CASE WHEN len(a) = 0 AND len(b) = 0 THEN 1.0 WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 ELSE len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))) END, 6)"
@@ -291,7 +284,6 @@ FROM (SELECT iri, split_part(iri, '/', 4) AS o, regexp_extract(iri, '([^/]*)$',
     "multi_high": f"WITH {EVIDENCE_SQL} SELECT prop_id, count(*) AS n FROM ev WHERE confidence >= 0.9 GROUP BY ALL HAVING count(*) > 1",
     "mapped_summary": f"""WITH {EVIDENCE_SQL}, k AS (SELECT prop_id, kind, min(seq) AS seq, max(confidence) AS top FROM ev GROUP BY ALL)
 SELECT prop_id, string_agg(kind, ', ' ORDER BY seq) AS kinds, CASE WHEN max(top) >= 0.9 THEN 'high' WHEN max(top) < 0.2 THEN 'low' ELSE 'middle' END AS class, max(top) >= 0.9 AS mapped FROM k GROUP BY prop_id""",
-    "vote_history": "SELECT property_value, place, id, vote FROM (SELECT *, row_number() OVER (PARTITION BY property_value ORDER BY created_at DESC, id DESC) AS place FROM votes WHERE property_value IS NOT NULL) WHERE place <= 3",
     "vote_history_all": "SELECT property_value, row_number() OVER (PARTITION BY property_value ORDER BY created_at DESC NULLS LAST, id DESC) AS place, id, vote FROM votes WHERE property_value IS NOT NULL",
     "latest_votes": "SELECT id, property_value, term_id, vote FROM (SELECT *, row_number() OVER (PARTITION BY property_value, term_id ORDER BY created_at DESC NULLS LAST, id DESC) AS rn FROM votes) WHERE rn = 1",
     "failed_terms": "SELECT DISTINCT term_id FROM (SELECT term_id FROM votes UNION ALL SELECT term_id FROM candidates) WHERE term_id IS NOT NULL AND term_id NOT IN (SELECT short_form FROM ols_terms WHERE short_form IS NOT NULL AND is_obsolete = 0)",

@@ -166,15 +166,6 @@ def dedup_by_term(spark, sf_dir: str) -> DataFrame:
     return _out(rules.one_per_term(rules.classify(evidence(spark, sf_dir))), "pos")
 
 
-def rank_candidates(spark, sf_dir: str, n: int = 20) -> DataFrame:
-    """The first n results of each property in rank order, preferred sources first among equals."""
-    from pyspark.sql import Window
-
-    e = rules.mark_preferred(rules.one_per_term(rules.classify(evidence(spark, sf_dir))), FULL.preferred)
-    w = Window.partitionBy("prop_id").orderBy(*rules.ranking())
-    return _out(e.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n), "place")
-
-
 def rank_all(spark, sf_dir: str) -> DataFrame:
     """All results of each property in rank order (W1 has no limit)."""
     e = rules.mark_preferred(rules.one_per_term(rules.classify(evidence(spark, sf_dir))), FULL.preferred).select("prop_id", "seq", "term_id", "confidence", "preferred", "rank", "pos")
@@ -222,7 +213,6 @@ QUERIES = {
     "dedup_by_term": dedup_by_term,
     "best_per_target": _rule(lambda e: rules.best_per_target(e, HARD)),
     "priority_tie": _rule(lambda e: rules.higher_priority_on_tie(e, HARD)),
-    "rank_candidates": rank_candidates,
     "rank_all": rank_all,
     "escalation": escalation,
     "map_full": map_full,
@@ -247,7 +237,6 @@ SQL = {
     "dedup_by_term": _with(_C, _one("c", "o"), select=f"{_OUT}, pos FROM o"),
     "best_per_target": _with(_C, _per_target("c", "o", HARD), select=f"{_OUT} FROM o"),
     "priority_tie": _with(_C, _tie("c", "o", HARD), select=f"{_OUT} FROM o"),
-    "rank_candidates": _with(_C, _one("c", "o"), _preferred("o", "q", FULL), select=f"SELECT * FROM ({_OUT}, row_number() OVER (PARTITION BY prop_id ORDER BY q.confidence DESC, coalesce(preferred, false) DESC, rank, pos) AS place FROM q) WHERE place <= 20"),
     "rank_all": _with(_C, _one("c", "o"), _preferred("o", "q", FULL), select=f"{_OUT}, row_number() OVER (PARTITION BY prop_id ORDER BY q.confidence DESC, coalesce(preferred, false) DESC, rank, pos) AS place FROM q"),
     "escalation": _with(
         _exclude("ev", "x"),
