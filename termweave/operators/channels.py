@@ -165,7 +165,8 @@ def containment_candidates(texts: DataFrame, names: DataFrame) -> DataFrame:
 def set_join(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     """l, r, jaccard of every pair of sets (left: l, g; right: r, g; l and r unique) with a Jaccard similarity of ``least`` or more; empty sets give none.
 
-    A prefix-filter join: elements are ordered by rarity on the right; two sets that similar share one of their first elements.
+    A prefix-filter join: elements are ordered by rarity on the right; two sets that similar share one of their first elements. A pair is kept where the
+    rarest element that it shares is met, so that no pair comes twice.
     """
     right = right.filter("size(g) > 0")
     rarity = materialised(right.select(F.explode("g").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df")))
@@ -182,8 +183,9 @@ def set_join(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     pairs = prefix(lq, "a", "n", "i").join(small_side(prefix(rn, "b", "m", "j")), "w").filter((m >= least * n - 1e-9) & (n >= least * m - 1e-9))
     # What is left behind the shared place must suffice for the similarity.
     pairs = pairs.filter(F.least(n - F.col("i"), m - F.col("j")) >= least / (1 + least) * (n + m) - 1e-9)
-    common = F.size(F.array_intersect("a", "b"))
-    return pairs.select("l", "r", (common / (n + m - common)).alias("jaccard")).filter(F.col("jaccard") >= least - 1e-9).distinct()
+    pairs = pairs.withColumn("both", F.array_intersect("a", "b")).filter(F.col("both")[0] == F.col("w"))
+    common = F.size("both")
+    return pairs.select("l", "r", (common / (n + m - common)).alias("jaccard")).filter(F.col("jaccard") >= least - 1e-9)
 
 
 def similar_names(texts: DataFrame, names: DataFrame, least: float = 0.5, k: int = 20) -> DataFrame:

@@ -34,8 +34,12 @@ def classify(evidence: DataFrame) -> DataFrame:
     return e.withColumn("rank", ev.evidence_rank(F.col("kind"), F.col("tier"))).withColumn("term_key", F.coalesce("iri", "term_id"))
 
 
-def with_stats(df: DataFrame, keys: list[str], hot: DataFrame | None = None, **stats: Column) -> DataFrame:
-    """Join each group's aggregates to its rows; rows with a null key get null aggregates. ``hot`` has prop_id and salts of the properties that are to be split."""
+def with_stats(df: DataFrame, keys: list[str], hot: DataFrame | None = None, near: bool = False, **stats: Column) -> DataFrame:
+    """Join each group's aggregates to its rows; rows with a null key get null aggregates. ``hot`` has prop_id and salts of the properties that are to be split.
+    ``near``: no key is null and groups are small, so that a window does it without moving rows again."""
+    if near:
+        w = Window.partitionBy(*keys)
+        return df.select("*", *(c.over(w).alias(n) for n, c in stats.items()))
     gone = [f"_{k}" for k in keys]
     grouped = df.groupBy(*(F.col(k).alias(g) for k, g in zip(keys, gone))).agg(*(c.alias(n) for n, c in stats.items()))
     on = reduce(lambda a, b: a & b, (F.col(k) == F.col(g) for k, g in zip(keys, gone)))
@@ -110,15 +114,19 @@ def preferred_namespaces(property_type: Column, priors: list[tuple[str, list[str
     return F.when(property_type.isNull() | (F.trim(property_type) == ""), F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(*parts)))
 
 
-def type_prior(df: DataFrame, priors: list[tuple[str, list[str], list[str]]]) -> DataFrame:
-    """Where a whole match lies in a namespace that the property type prefers, raise such matches and lower all rows outside."""
+def with_spaces(df: DataFrame, priors: list[tuple[str, list[str], list[str]]]) -> DataFrame:
+    """Add the namespaces that each row's property type asks for (_spaces): one evaluation per property type, not per row."""
+    types = df.select(F.col("property_type").alias("_type")).filter("_type is not null").distinct().withColumn("_spaces", preferred_namespaces(F.col("_type"), priors))
+    return df.join(types, F.col("property_type") == F.col("_type"), "left").drop("_type")
+
+
+def type_prior(df: DataFrame, priors: list[tuple[str, list[str], list[str]]], near: bool = False) -> DataFrame:
+    """Where a whole match lies in a namespace that the property type prefers, raise such matches and lower all rows outside. Rows may have their _spaces already."""
     if not priors:
         return df
     inside = F.arrays_overlap(ids.memberships(F.col("ontology"), F.col("term_id")), F.col("_spaces"))
-    # One evaluation per property type, not per row.
-    types = df.select(F.col("property_type").alias("_type")).filter("_type is not null").distinct().withColumn("_spaces", preferred_namespaces(F.col("_type"), priors))
-    e = df.join(types, F.col("property_type") == F.col("_type"), "left").drop("_type").withColumn("_in", F.coalesce(inside, F.lit(False)))
-    e = with_stats(e, ["prop_id"], _grounded=F.bool_or(F.col("_in") & ev.is_full(F.col("tier"))))
+    e = (df if "_spaces" in df.columns else with_spaces(df, priors)).withColumn("_in", F.coalesce(inside, F.lit(False)))
+    e = with_stats(e, ["prop_id"], near=near, _grounded=F.bool_or(F.col("_in") & ev.is_full(F.col("tier"))))
     moved = (
         F.when(~F.col("_grounded"), F.col("confidence"))
         .when(F.col("_in") & ev.is_full(F.col("tier")), F.least(F.lit(1.0), F.col("confidence") + PRIOR))
@@ -145,6 +153,28 @@ def chain_of(df: DataFrame) -> Column:
     return F.array(ev.step(F.col("method"), F.col("kind"), F.col("datasource"), None, None, text, F.col("label"), F.col("confidence"), F.col("iri")))
 
 
+def corroborate_near(df: DataFrame) -> DataFrame:
+    """corroborate by windows over a property's terms, for properties of few rows: rows that lie by property are not moved again."""
+    e = _with_preferred(df).withColumn("_channel", F.concat_ws(":", "method", "kind"))
+    counted = F.when((F.col("confidence") >= LEAST_SUPPORT) & F.col("kind").isNotNull(), F.col("seq"))
+    one, term = Window.partitionBy("prop_id", "term_key", "_channel"), Window.partitionBy("prop_id", "term_key")
+    e = e.select("*", F.min(counted).over(one).alias("_first"), F.min_by(chain_of(e), counted).over(one).alias("_c"))
+    # Of a channel all rows tell the same, so that the set has each channel once.
+    found = F.collect_set(F.when(F.col("_first").isNotNull(), F.struct(F.col("_first").alias("first"), "_channel", F.col("_c").alias("c"))))
+    e = e.select("*", F.min(F.struct(_order().alias("o"), "_channel")).over(term).alias("_best"), found.over(term).alias("_found"))
+    others = F.filter("_found", lambda x: x["_channel"] != F.col("_best._channel"))
+    best = F.col("term_key").isNotNull() & F.coalesce(F.col("seq") == F.col("_best.o.s"), F.lit(False))
+    e = e.withColumn("_support", F.when(best & (F.size(others) > 0), F.transform(F.array_sort(others), lambda x: x["c"])))
+    return _raised(e).drop("_support", "_channel", "_first", "_c", "_best", "_found")
+
+
+def _raised(e: DataFrame) -> DataFrame:
+    """Rows with _support, which is null unless it raises them."""
+    top = F.when(F.col("tier") == "NONE", F.col("confidence")).otherwise(F.greatest(ev.ceiling(F.col("tier")), F.col("confidence")))
+    raised = F.least(top, F.col("confidence") + F.size("_support") * BONUS)
+    return e.withColumn("supporting", F.col("_support")).withColumn("confidence", F.when(F.col("_support").isNotNull(), raised).otherwise(F.col("confidence")))
+
+
 def corroborate(df: DataFrame) -> DataFrame:
     """Raise the best row of a term by BONUS for every other channel that found it with LEAST_SUPPORT or more, up to its class's ceiling.
 
@@ -162,10 +192,7 @@ def corroborate(df: DataFrame) -> DataFrame:
     # Only rows that are raised come with what supports them; other terms need no join partner.
     per_term = per_term.select(F.col("prop_id").alias("_p"), F.col("term_key").alias("_k"), F.col("_best.o.s").alias("_seq"), F.transform(F.array_sort(others), lambda x: x["c"]).alias("_support")).filter("size(_support) > 0")
     e = e.join(per_term, (F.col("prop_id") == F.col("_p")) & (F.col("term_key") == F.col("_k")) & (F.col("seq") == F.col("_seq")), "left")
-    wins = F.col("_support").isNotNull()
-    top = F.when(F.col("tier") == "NONE", F.col("confidence")).otherwise(F.greatest(ev.ceiling(F.col("tier")), F.col("confidence")))
-    raised = F.least(top, F.col("confidence") + F.size("_support") * BONUS)
-    return e.withColumn("supporting", F.col("_support")).withColumn("confidence", F.when(wins, raised).otherwise(F.col("confidence"))).drop("_p", "_k", "_seq", "_support", "_channel")
+    return _raised(e).drop("_p", "_k", "_seq", "_support", "_channel")
 
 
 def _semantic() -> Column:
@@ -210,7 +237,7 @@ def _is_weak(f: Filter) -> Column:
     return drop
 
 
-def prune(df: DataFrame, f: Filter, hot: DataFrame | None = None) -> DataFrame:
+def prune(df: DataFrame, f: Filter, hot: DataFrame | None = None, near: bool = False) -> DataFrame:
     """suppress_embedding, best_embedding and prune_weak with one aggregation.
 
     What the vector rows leave of a maximum follows from the maxima of vector rows and of other rows: a target's best vector row stays if
@@ -220,7 +247,7 @@ def prune(df: DataFrame, f: Filter, hot: DataFrame | None = None) -> DataFrame:
     e = df.withColumn("_t", ids.target_of(F.col("ontology"), F.col("term_id"), targets))
     of = lambda i, which: F.max(F.when((F.col("_t") == targets[i]) & which, conf))
     each = {f"_{side}{i}": of(i, which) for i in range(len(targets)) for side, which in (("v", vector), ("w", ~vector))}
-    e = with_stats(e, ["prop_id"], hot, _exact=F.bool_or(F.col("tier") == "CURATED_FULL"), _top=F.max(F.when(vector, conf)), _rest=F.max(F.when(~vector, conf)), **each)
+    e = with_stats(e, ["prop_id"], hot, near, _exact=F.bool_or(F.col("tier") == "CURATED_FULL"), _top=F.max(F.when(vector, conf)), _rest=F.max(F.when(~vector, conf)), **each)
     stays = lambda score: F.coalesce(~F.col("_exact") & ((F.col("_top") <= 0) | (score >= F.col("_top") - EMBEDDING_GAP)), F.lit(False))
     e = e.filter(~vector | stays(conf))
     kept = lambda score: F.when(stays(score), score)
@@ -234,7 +261,8 @@ def one_per_term(df: DataFrame) -> DataFrame:
     """The best row of each term, at the place (pos) of the term's first row. Rows without a term key are dropped."""
     e = _with_preferred(df).filter("term_key is not null")
     best = e.groupBy("prop_id", "term_key").agg(F.min_by(F.struct(*e.columns), _order()).alias("b"), F.min("seq").alias("pos"))
-    return best.select("b.*", "pos")
+    # The key itself, not its copy in the struct: rows still lie by it.
+    return best.select(*(F.col("prop_id") if c == "prop_id" else F.col("b")[c].alias(c) for c in e.columns), "pos")
 
 
 def best_per_target(df: DataFrame, f: Filter) -> DataFrame:
@@ -289,21 +317,26 @@ def mark_preferred(df: DataFrame, preferred: tuple[str, ...]) -> DataFrame:
     return _with_preferred(df).withColumn("preferred", F.when(F.coalesce(hit, F.lit(False)), True).otherwise(F.col("preferred")))
 
 
-def _prepared(df: DataFrame, f: Filter, excluded: list[str], priors: list) -> DataFrame:
-    """Filtered, classified and adjusted rows, written once: what follows aggregates and joins back, which reads its input several times."""
+def _prepared(df: DataFrame, f: Filter, excluded: list[str], priors: list, near: bool = False) -> DataFrame:
+    """Filtered, classified and adjusted rows, written once: what follows aggregates and joins back, which reads its input several times. Windows read it once."""
     e = classify(defining_only(hard_ontologies(required_sources(exclude_terms(df, excluded), f.required), f), f))
-    return cut_lineage(type_prior(e, priors))
+    # By property at once: else each window would move the rows by its own, finer key.
+    return type_prior(e.repartition("prop_id"), priors, True) if near else cut_lineage(type_prior(e, priors))
 
 
-def reduce_full(df: DataFrame, f: Filter = Filter(), excluded: list[str] = [], priors: list = []) -> DataFrame:  # noqa: B006
-    """All rules in order: exclusion, sources, ontologies, namespaces, type prior, corroboration, embedding rules, pruning, one per term, targets, preference."""
-    e = _prepared(df, f, excluded, priors)
-    return mark_preferred(target_rules(one_per_term(prune(corroborate(e), f, hot_properties(e))), f), f.preferred)
+def reduce_full(df: DataFrame, f: Filter = Filter(), excluded: list[str] = [], priors: list = [], near: bool = False) -> DataFrame:  # noqa: B006
+    """All rules in order: exclusion, sources, ontologies, namespaces, type prior, corroboration, embedding rules, pruning, one per term, targets, preference.
+
+    ``near``: no property has more than a few rows per term of the vocabulary, so that windows do in one pass over rows moved once what else takes joins.
+    """
+    e = _prepared(df, f, excluded, priors, near)
+    kept = prune(corroborate_near(e), f, None, True) if near else prune(corroborate(e), f, hot_properties(e))
+    return mark_preferred(target_rules(one_per_term(kept), f), f.preferred)
 
 
-def reduce_light(df: DataFrame, f: Filter = Filter(), excluded: list[str] = [], priors: list = []) -> DataFrame:  # noqa: B006
+def reduce_light(df: DataFrame, f: Filter = Filter(), excluded: list[str] = [], priors: list = [], near: bool = False) -> DataFrame:  # noqa: B006
     """For callers that want all results: no suppression, pruning or target rules."""
-    return mark_preferred(one_per_term(corroborate(_prepared(df, f, excluded, priors))), f.preferred)
+    return mark_preferred(one_per_term((corroborate_near if near else corroborate)(_prepared(df, f, excluded, priors, near))), f.preferred)
 
 
 def ranking(place: str = "pos") -> list[Column]:

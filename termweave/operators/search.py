@@ -31,13 +31,13 @@ def names_of(terms: DataFrame) -> DataFrame:
 
 
 def alike(texts: DataFrame, names: DataFrame) -> DataFrame:
-    """text, name of every pair of distinct strings that share enough words or enough trigrams."""
+    """text, name of every pair of distinct strings that share enough words or enough trigrams; what shares enough of both comes twice."""
     t, n = texts.select(F.col("text").alias("l")).distinct(), names.select(F.col("name").alias("r")).distinct()
     pairs = None
     for sets, least in ((sim.tokens, LEAST_WORDS), (sim.trigrams, LEAST_TRIGRAMS)):
         found = channels.set_join(t.select("l", sets(F.col("l")).alias("g")), n.select("r", sets(F.col("r")).alias("g")), least).select(F.col("l").alias("text"), F.col("r").alias("name"))
         pairs = found if pairs is None else pairs.unionByName(found)
-    return pairs.distinct()
+    return pairs
 
 
 def scored_terms(texts: DataFrame, names: DataFrame) -> DataFrame:
@@ -50,7 +50,8 @@ def scored_terms(texts: DataFrame, names: DataFrame) -> DataFrame:
     same = texts.withColumn("low", F.lower("text")).join(small_side(known.select("low", "iri"), of=known), "low").select("text", "iri")
     held = channels.holders(texts, known).select("text", "iri")
     near = alike(texts, known).join(small_side(known.select("name", "iri"), of=known), "name").select("text", "iri")
-    pairs = same.unionByName(held).unionByName(near).distinct()
+    # A text has no more pairs than there are terms; rows that lie by text need no further exchange here or where they are ranked.
+    pairs = same.unionByName(held).unionByName(near).repartition("text").distinct()
     both = pairs.join(small_side(known), "iri")
     equal = F.when(F.col("low") == F.lower("text"), F.when(F.col("ord") == 0, 2).otherwise(1)).otherwise(0)
     words = sim.content_tokens(F.col("name"))

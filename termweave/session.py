@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 
@@ -10,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: With this setting a query's shuffle files go as soon as it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Most rows and bytes that a side may have before it is hinted for broadcasting.
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 
@@ -81,16 +84,29 @@ def _size(schema: T.StructType) -> list[Column]:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise a frame in the shared checkpoint folder, so that a lost executor never forces a long recomputation. Its size is noted on the way."""
-    ensure_checkpoint_dir(df.sparkSession)
-    seen = Observation()
-    out = df.observe(seen, *_size(df.schema)).checkpoint(eager=True)
+    """Materialise a frame in the shared checkpoint folder, so that a lost executor never forces a long recomputation. Its size is noted on the way, and the shuffle
+    files that it took, which nothing reads again, are removed at once."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    seen, before = Observation(), spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")  # read when a frame is made
+    try:
+        observed = df.observe(seen, *_size(df.schema))
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    out = observed.checkpoint(eager=True)
     noted = seen.get
     if "rows" in noted:
         out.__dict__["_measured"] = (noted["rows"], noted["bytes"])
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Have checkpoints and shuffle files removed that no frame uses any more: they go when the driver collects its garbage, which it may not do for long."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES, of: DataFrame | None = None) -> bool:
     """Whether a frame has at most so many rows and bytes. Known of a frame that cut_lineage made, and of what is selected or filtered from one (``of``); any other
     frame is counted, up to max_rows + 1 rows."""
