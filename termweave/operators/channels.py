@@ -178,7 +178,9 @@ def set_join(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     def prefix(df: DataFrame, out: str, size: str, place: str) -> DataFrame:
         return df.select("*", F.posexplode(F.slice(out, F.lit(1), (F.col(size) - F.ceil(F.lit(least) * F.col(size) - 1e-9) + 1).cast("int"))).alias(place, "w"))
 
-    lq, rn = cut_lineage(ordered(left, "l", "n", "a")), cut_lineage(ordered(right, "r", "m", "b"))
+    # The left side's sets are short and dear to compare: with a number given they are not packed into a few tasks by their bytes.
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lq, rn = cut_lineage(ordered(left, "l", "n", "a").repartition(tasks, "l")), cut_lineage(ordered(right, "r", "m", "b"))
     n, m = F.col("n"), F.col("m")
     pairs = prefix(lq, "a", "n", "i").join(small_side(prefix(rn, "b", "m", "j")), "w").filter((m >= least * n - 1e-9) & (n >= least * m - 1e-9))
     # What is left behind the shared place must suffice for the similarity.

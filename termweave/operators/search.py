@@ -50,8 +50,9 @@ def scored_terms(texts: DataFrame, names: DataFrame) -> DataFrame:
     same = texts.withColumn("low", F.lower("text")).join(small_side(known.select("low", "iri"), of=known), "low").select("text", "iri")
     held = channels.holders(texts, known).select("text", "iri")
     near = alike(texts, known).join(small_side(known.select("name", "iri"), of=known), "name").select("text", "iri")
-    # A text has no more pairs than there are terms; rows that lie by text need no further exchange here or where they are ranked.
-    pairs = same.unionByName(held).unionByName(near).repartition("text").distinct()
+    # A text has no more pairs than there are terms; rows that lie by text need no further exchange here or where they are ranked. Pairs are short and dear to
+    # score: with a number given they are not packed into a few tasks by their bytes.
+    pairs = same.unionByName(held).unionByName(near).repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "text").distinct()
     both = pairs.join(small_side(known), "iri")
     equal = F.when(F.col("low") == F.lower("text"), F.when(F.col("ord") == 0, 2).otherwise(1)).otherwise(0)
     words = sim.content_tokens(F.col("name"))
